@@ -13,6 +13,20 @@ from pyspark.sql import types as T
 from .common import read_table
 
 
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -46,6 +60,13 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", round_trip("text").alias("d")).select("doc_id", "d.*")
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import cut_documents, pack
+
+    pieces = cut_documents(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=0)
+    return pack(pieces, capacity=2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_tokens import count_tokens
 
@@ -58,9 +79,30 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kmeans_tree import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_topk import exact_top_k
+
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, k=20)
+
+
+def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kd_shards import kd_shards
+
+    docs = read_table(spark, sf_dir, "documents")
+    sized = docs.withColumns({"size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long"), "text_crc32": F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")).cast("long")})
+    placed = kd_shards(sized.select("doc_id", "size", "text_crc32", "n_chars", "source", "lang"), 24, "size", ["source", "size", "lang", "doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_roundtrip, op6_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_roundtrip, op4_kmeans_tree, op5_best_fit_packing, op6_token_counts, op7_exact_topk, op8_kd_shards, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_topk": OP7_SQL}

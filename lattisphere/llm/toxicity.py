@@ -70,7 +70,7 @@ class Weights:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
-def ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> Weights:
+def ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = 6, alpha: float = 3.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1) -> Weights:
     """FTRL-proximal over sparse rows of distinct coordinates, in the given order."""
     if not rows:
         return Weights(np.zeros(0, np.int64), np.zeros(0), -1.0)
