@@ -103,7 +103,7 @@ def sum_arrays(parts: DataFrame, width: int, chunks: int = 32) -> np.ndarray:
 
     out = np.zeros(width, np.int64)
     step = width // chunks
-    for row in parts.groupBy("chunk").applyInArrow(lambda batches: add(batches), "chunk int, total binary").collect():
+    for row in parts.groupBy("chunk").applyInArrow(add, "chunk int, total binary").collect():
         out[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(row.total, np.int64)
     return out
 

@@ -79,6 +79,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_text
+
+    return extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kmeans_tree import nearest
 
@@ -100,8 +106,15 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(read_table(spark, sf_dir, "documents"), percent=75, size=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_bpe_roundtrip, op4_kmeans_tree, op5_best_fit_packing, op6_token_counts, op7_exact_topk, op8_kd_shards, op9_toxicity)}
+    made = (op1_secret_scan, op2_bpe_roundtrip, op3_html_text, op4_kmeans_tree, op5_best_fit_packing, op6_token_counts, op7_exact_topk, op8_kd_shards, op9_toxicity, op10_ngram_join)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
