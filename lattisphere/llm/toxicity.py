@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import Bounded
 
 #: The documented bound of the labelled sample, in rows. Beyond it, rows are taken by the hash of doc_id.
-MAX_ROWS = 10_000
+MAX_ROWS = 6_000
 _WORD = re.compile(r"\w+")
 _MASK = (1 << 30) - 1
 
@@ -70,13 +70,24 @@ class Weights:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
+def compacted(rows: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The coordinates that at least two rows have (L1 would hold any other at 0), and the rows as places in them."""
+    every = np.sort(np.concatenate(rows))
+    keys = np.unique(every[1:][every[1:] == every[:-1]])
+    del every
+    out = []
+    for r in rows:
+        at = np.searchsorted(keys, r)
+        at[at == len(keys)] = 0
+        out.append(at[keys[at] == r].astype(np.int32) if len(keys) else at[:0].astype(np.int32))
+    return keys, out
+
+
 def ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = 6, alpha: float = 3.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1) -> Weights:
     """FTRL-proximal over sparse rows of distinct coordinates, in the given order."""
     if not rows:
         return Weights(np.zeros(0, np.int64), np.zeros(0), -1.0)
-    keys, where = np.unique(np.concatenate(rows), return_inverse=True)
-    cuts = np.cumsum([len(r) for r in rows])[:-1]
-    split = np.split(where, cuts)
+    keys, split = compacted(rows)
     z, n = np.zeros(len(keys)), np.zeros(len(keys))
     zb = nb = 0.0
     for _ in range(epochs):
@@ -91,7 +102,7 @@ def ftrl(rows: list[np.ndarray], labels: list[int], epochs: int = 6, alpha: floa
             nb += g * g
     w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
     kept = np.flatnonzero(w)
-    return Weights(keys[kept], w[kept], -zb / ((beta + nb**0.5) / alpha))
+    return Weights(keys[kept].astype(np.int64), w[kept], -zb / ((beta + nb**0.5) / alpha))
 
 
 def held_out(key: Column) -> Column:
@@ -114,10 +125,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, key: str =
 
     # broadcast: at most max_rows pairs of numbers
     sample = docs.select(F.col(key), F.col(text)).join(F.broadcast(taken), key).select(F.col(key).cast("string").alias("key"), F.col("__y").alias("y"), F.col(text).alias("text"))
-    found = sample.mapInArrow(hashed, "key string, y int, x binary").collect()
-    found.sort(key=lambda r: (zlib.crc32(r.key.encode()), r.key, r.x))
-    found = found[:max_rows]
-    return ftrl([np.frombuffer(r.x, "<u4").astype(np.int64) for r in found], [r.y for r in found])
+    found = sample.mapInArrow(hashed, "key string, y int, x binary").toArrow()
+    keys = found["key"].to_pylist()
+    order = sorted(range(len(keys)), key=lambda i: (zlib.crc32(keys[i].encode()), keys[i], len(found["x"][i].as_buffer())))[:max_rows]
+    return ftrl([np.frombuffer(found["x"][i].as_buffer(), "<u4") for i in order], [found["y"][i].as_py() for i in order])
 
 
 def toxicity(text: Column, model: Weights) -> Column:
