@@ -8,8 +8,8 @@ fingerprint of its set, so equal sets are one from the start. Then:
    document from the estimated cost of its candidates: a longer prefix costs rows, but raises the number of shared
    prefix shingles that a pair needs, alpha(x, y) - max(|x| - prefix(x), |y| - prefix(y)), before it is verified. Only
    shingles that two sets have in their prefixes are kept; the others are dropped where they meet.
-3. Stars: for each shingle its smallest fingerprint is the centre. Documents that share enough with a centre are verified
-   against it, at most TRIES each. Groups of copies collapse here without pairs between their members.
+3. Stars: for each shingle the set that meets the most others is the centre. Documents that share enough with a centre are
+   verified against it, at most TRIES each. Groups of copies collapse here without pairs between their members.
 4. All pairs that still lie in different components, and share as many prefix shingles as they need, are verified. Two
    documents of one component need no test: it could not change the components. So no link between components is lost.
 
@@ -36,6 +36,8 @@ from .common import Bounded, materialize, shuffle_width, sum_arrays
 
 SIZE, PERCENT = 5, 75
 SKETCH_BITS, TRIES = 18, 2
+#: Part of the shared shingles a pair needs that a document must share with a centre to be tried; not used after that.
+SHARE = 0.3
 #: Extra prefix shingles that a document may choose from; the choice travels in the three low bits of its tokens.
 EXTRA = (1, 2, 4, 8, 16)
 #: Largest number of documents for which a broadcast of ids (8 bytes each) picks the texts to verify; above it, a join.
@@ -47,7 +49,7 @@ _MIX, _SHIFT, _TOKEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29), np.uint64(0
 def _words() -> Bounded:
     import xxhash
 
-    return Bounded(xxhash.xxh3_64_intdigest, 400_000)
+    return Bounded(xxhash.xxh3_64_intdigest, 120_000)
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -275,19 +277,26 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE
     sets = materialize(rows.where("set IS NOT NULL AND doc IS NOT NULL").groupBy("set").agg(F.min("doc").alias("doc"), F.max("n").alias("n")), "documents")
     tokens = materialize(_shared_tokens(docs.where(F.col(key).isNotNull()), text, sketch, size, percent, buckets), "tokens")
 
-    centres = tokens.groupBy("token").agg(F.min("set").alias("y"))
-    shared = tokens.join(centres, "token").where("set <> y").groupBy("set", "y").agg(F.count("*").alias("c"), F.max("extra").alias("extra"))
+    # the centre of a shingle is the set whose prefix meets the most others: of a family of copies, that is the original
+    lengths = tokens.groupBy("token").agg(F.count("*").alias("l"))
+    met = tokens.join(lengths, "token").groupBy("set").agg(F.sum("l").alias("met"))
+    centres = tokens.join(met, "set").groupBy("token").agg(F.max(F.struct("met", "set"))["set"].alias("y"))
+    shared = tokens.join(centres, "token").where("set <> y").groupBy("set", "y").agg(F.count("*").alias("c"))
     size_of = lambda name: sets.select(F.col("set").alias(name), F.col("n").alias(f"n{name}"))
     stars = shared.withColumnRenamed("set", "x").join(size_of("x"), "x").join(size_of("y"), "y")
     # a heuristic choice, by the number of shared prefix shingles for which y is the centre: what it misses, step 4 finds
     wanted = F.greatest(F.lit(1), F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent)) - F.greatest(*[F.floor(F.col(c) * percent / 100) for c in ("nx", "ny")]))
-    near = stars.where((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("c") >= wanted))
+    near = stars.where((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("c") >= SHARE * wanted))
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).where(F.col("r") <= TRIES)
     links = _verify(materialize(best.select("x", "y"), "stars"), sets, docs, key, text, size, percent)
-    crossing = materialize(_crossing(tokens, sets, components(links), percent, buckets), "crossing")
-    links = links.union(_verify(crossing, sets, docs, key, text, size, percent))
-
-    named = sets.join(components(links), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    first = components(links)
+    crossing = materialize(_crossing(tokens, sets, first, percent, buckets), "crossing")
+    between = _verify(crossing, sets, docs, key, text, size, percent)
+    for name in ("x", "y"):  # what is left to join are components, not documents
+        comp = first.select(F.col("set").alias(name), F.col("comp").alias("c"))
+        between = between.join(comp, name, "left").withColumn(name, F.coalesce("c", name)).drop("c")
+    second = components(between.where("x <> y").distinct()).select(F.col("set").alias("comp"), F.col("comp").alias("further"))
+    named = sets.join(first, "set", "left").withColumn("comp", F.coalesce("comp", "set")).join(second, "comp", "left").withColumn("comp", F.coalesce("further", "comp"))
     smallest = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
     named = named.select("set", "comp").join(smallest, "comp").select("set", "component_id")
     return rows.join(named, "set", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
