@@ -17,7 +17,14 @@ from pyspark.sql.window import Window
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Rows in a batch that a Python worker gets at once. Texts are long: 10,000 of them, Spark's default, can be 100 MB.
+BATCH_ROWS = 2_000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir; also bounds the batches of texts for Python workers, if the session does not already."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "0")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
