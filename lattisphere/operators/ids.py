@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.digest import HASHES, gcd_of, joined_sorted
 from ..options import IdOptions
+from ..plans.session import spread
 from . import graph, kernel, labels, neighbors, sequences
 
 # Pauling electronegativities of the elements (public tables); X is unknown and sorts last.
@@ -113,7 +114,7 @@ def kernel_rows(sites: DataFrame, edges: DataFrame, options: IdOptions = IdOptio
         rows = rows.join(own, "structure_id", "left")
     else:
         rows = rows.withColumn("labels", F.lit(None).cast("array<string>"))
-    return rows.withColumn("r", _kernel_ids(options, catch)).select("structure_id", "species", "r.*")
+    return spread(rows).withColumn("r", _kernel_ids(options, catch)).select("structure_id", "species", "r.*")
 
 
 def graph_ids(structures: DataFrame, sites: DataFrame, options: IdOptions = IdOptions(), strategy: str = "minimum_distance", letters: DataFrame | None = None, catch: bool = False, **of_strategy) -> DataFrame:
@@ -168,7 +169,7 @@ def clustering_ids(structures: DataFrame, sites: DataFrame, options: IdOptions =
             out.append(kernel.clustering_digest(len(names), rows, each, start, options.rank_k, options.diameter_factor, options.additional_depth, options.digest_size, relabel))
         return pa.array(out, pa.string())
 
-    return rows.select("structure_id", run("species", "edges", "clusters").alias("graph_id"))
+    return spread(rows).select("structure_id", run("species", "edges", "clusters").alias("graph_id"))
 
 
 def unique_structures(ids: DataFrame, order: str) -> DataFrame:

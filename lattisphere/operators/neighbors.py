@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
+from ..plans.session import spread
 from ..schemas import EDGE
+from . import voronoi as V
 from .geometry import periodic_pairs
 
 
@@ -157,3 +161,37 @@ def bonds(name: str, structures: DataFrame, sites: DataFrame, **options) -> Data
     bad = F.lit(False) if crystals and molecules else ~periodic if crystals else periodic
     checked = structures.withColumn("pbc", F.when(bad, F.raise_error(F.lit(f"{name} does not allow this kind of structure")).cast("array<boolean>")).otherwise(F.col("pbc"))) if not (crystals and molecules) else structures
     return strategy(checked, sites, **options)
+
+
+def _by_kernel(structures: DataFrame, sites: DataFrame, make: Callable[[list, list, list, list], list[tuple]]) -> DataFrame:
+    """Bonds of a whole-structure kernel: (lattice, coords, species, oxi) -> rows (u, v, ia, ib, ic, weight)."""
+    own = sites.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("site_i", "species", "x", "y", "z", "oxi"))).alias("s"))
+    fields = [("u", pa.int32()), ("v", pa.int32()), ("ia", pa.int32()), ("ib", pa.int32()), ("ic", pa.int32()), ("weight", pa.float64())]
+    kinds = [T.StructField(n, T.DoubleType() if n == "weight" else T.IntegerType()) for n, _ in fields]
+
+    @F.arrow_udf(T.ArrayType(T.StructType(kinds)))
+    def run(lattices: pa.Array, atoms: pa.Array) -> pa.Array:
+        out = []
+        for cell, rows in zip(lattices.to_pylist(), atoms.to_pylist()):
+            found = make(cell, [(a["x"], a["y"], a["z"]) for a in rows], [a["species"] for a in rows], [a["oxi"] for a in rows])
+            out.append([dict(zip([n for n, _ in fields], f)) for f in found])
+        return pa.array(out, pa.list_(pa.struct(fields)))
+
+    rows = own.join(structures.select("structure_id", "lattice"), "structure_id")
+    return spread(rows).select("structure_id", F.explode(run("lattice", "s")).alias("e")).select("structure_id", "e.*")
+
+
+def voronoi(structures: DataFrame, sites: DataFrame, tol: float = 0.0, targets: list[str] | None = None, cutoff: float = 13.0, weight: str = "solid_angle") -> DataFrame:
+    """Facets of the Voronoi cell above tol times the largest; weight relative to it, by any measure of a facet."""
+    return _by_kernel(structures, sites, lambda cell, xyz, species, oxi: V.voronoi_bonds(cell, xyz, species, tol, targets, cutoff, weight))
+
+
+def crystal(structures: DataFrame, sites: DataFrame, **options) -> DataFrame:
+    """The most likely coordination by weighted Voronoi facets; options as in voronoi.crystal_bonds."""
+    from .ids import ELECTRONEGATIVITY
+
+    return _by_kernel(structures, sites, lambda cell, xyz, species, oxi: V.crystal_bonds(cell, xyz, species, oxi, ELECTRONEGATIVITY, **options))
+
+
+register("voronoi", voronoi)
+register("crystal", crystal)

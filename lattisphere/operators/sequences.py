@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.digest import HASHES, blake
+from ..plans.session import stored
 
 PLACE = ["structure_id", "center", "site", "ia", "ib", "ic"]
 
@@ -17,8 +18,10 @@ PLACE = ["structure_id", "center", "site", "ia", "ib", "ic"]
 def shells(sites: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(structure_id, center, level, site, ia, ib, ic): the places first reached at each level from 1 to depth.
 
-    In an undirected graph a new place can only have been met in the last two shells, so only these are subtracted.
+    Each shell is a table of its own in the shared folder: it is read three times, and its lineage would double with every
+    level. In an undirected graph a new place can only have been met in the last two shells, so only these are subtracted.
     """
+    edges = stored(edges, "edges")
     step = edges.select("structure_id", F.col("u").alias("site"), "v", *[F.col(c).alias(f"d{c}") for c in ("ia", "ib", "ic")])
     zero = F.lit(0).cast("int")
     last = sites.select("structure_id", F.col("site_i").alias("center"), F.col("site_i").alias("site"), *[zero.alias(c) for c in ("ia", "ib", "ic")])
@@ -28,8 +31,8 @@ def shells(sites: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
         new = last.join(step, ["structure_id", "site"]).select("structure_id", "center", F.col("v").alias("site"), *moved).dropDuplicates(PLACE)
         new = new.join(last, PLACE, "left_anti")
         new = new if before is None else new.join(before, PLACE, "left_anti")
-        before, last = last, new
-        rows = new.withColumn("level", F.lit(level))
+        before, last = last, stored(new, "shell")
+        rows = last.withColumn("level", F.lit(level))
         out = rows if out is None else out.unionByName(rows)
     return out if out is not None else last.withColumn("level", zero).limit(0)
 

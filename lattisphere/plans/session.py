@@ -24,3 +24,11 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/lattisphere-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str = "structure_id") -> DataFrame:
+    """df dealt by key over at least all cores, for rows that are few in bytes but long to work on: adaptive execution
+    would put them into one task."""
+    spark = df.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(width, key)
