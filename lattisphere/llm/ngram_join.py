@@ -200,7 +200,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text:
 
 def components(links: DataFrame) -> DataFrame:
     """(set, comp): the smallest set reachable from each set that has a link."""
-    edges = materialize(links.union(links.select("y", "x")).toDF("set", "other").distinct(), "edges")
+    edges = materialize(links.select("x", "y").union(links.select("y", "x")).toDF("set", "other").distinct(), "edges")
     labels = materialize(edges.groupBy("set").agg(F.least(F.col("set"), F.min("other")).alias("comp")), "labels")
     while True:
         near = edges.join(labels.withColumnRenamed("set", "other"), "other").groupBy("set").agg(F.min("comp").alias("near"))

@@ -27,6 +27,21 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w
+), e AS (SELECT doc_id, unnest(s) AS s FROM g),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN g gx ON gx.doc_id = x JOIN g gy ON gy.doc_id = y WHERE 100 * c >= 75 * (len(gx.s) + len(gy.s) - c)),
+u AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS z FROM documents UNION SELECT r.doc_id, u.y FROM r JOIN u ON r.z = u.x),
+m AS (SELECT doc_id, min(z) AS component_id FROM r GROUP BY ALL)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM g JOIN m USING (doc_id)
+"""
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -118,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": OP7_SQL}
+    return {"op7_exact_topk": OP7_SQL, "op10_ngram_join": OP10_SQL}
