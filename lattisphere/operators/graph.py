@@ -33,6 +33,12 @@ def without_site(edges: DataFrame, site: int) -> DataFrame:
     return edges.where((F.col("u") != site) & (F.col("v") != site))
 
 
+def with_cluster_edges(edges: DataFrame, bonds: DataFrame, site: int, k: int) -> DataFrame:
+    """edges with the bonds of one site replaced by those of its distance cluster k (see neighbors.cluster_bonds)."""
+    own = symmetric(bonds.where((F.col("u") == site) & (F.col("k") == k)))
+    return without_site(edges, site).select(*EDGE).unionByName(own.select(*EDGE)).distinct()
+
+
 def one_direction(edges: DataFrame) -> DataFrame:
     """The export form: each bond once, from the smaller site."""
     return edges.where("u <= v")

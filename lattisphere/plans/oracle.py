@@ -111,7 +111,6 @@ SELECT structure_id, u, v, ia, ib, ic, round(d0 / dist, 6) AS weight FROM c WHER
 
 EDGE = "structure_id, u, v, ia, ib, ic"
 CUTOFFS = "(VALUES ('AF', 'NO', 4.0), ('NO', 'AF', 4.0), ('RF', 'RF', 5.0)) t(a, b, r)"
-SPLIT = "crc32_key % 5"
 
 
 def queries() -> dict[str, str]:
@@ -193,6 +192,11 @@ SELECT structure_id, md5(string_agg(digest, ':' ORDER BY digest)) AS graph_id FR
         "insert_if_absent": f"{ids1} SELECT min(structure_id) AS structure_id, graph_id FROM ids WHERE {test} AND graph_id NOT IN (SELECT graph_id FROM ids WHERE {train}) GROUP BY graph_id",
         "mae_by_split": """WITH k AS (SELECT l_quantity * 1000 AS predicted, l_extendedprice AS actual, CASE WHEN l_orderkey % 2 = 0 THEN 'train' ELSE 'test' END AS kind FROM lineitem)
 SELECT kind, count(*) AS n, round(avg(abs(actual - predicted)), 4) AS mae FROM k GROUP BY ALL UNION ALL SELECT 'all', count(*), round(avg(abs(actual - predicted)), 4) FROM k""",
+        "site_radii": f"WITH {SITES} SELECT structure_id, site_i, CASE species WHEN 'AF' THEN 0.5 WHEN 'NO' THEN 1.25 WHEN 'RF' THEN 0.75 WHEN 'AO' THEN 2.0 WHEN 'NF' THEN 1.0 WHEN 'RO' THEN 1.75 END::DOUBLE AS radius FROM sites",
+        "ionic_radii": f"""WITH {SITES}, o AS (SELECT *, (site_i % 6) / 2.0 - 1.0 AS oxi FROM sites)
+SELECT structure_id, site_i, CASE
+  WHEN species = 'AF' THEN CASE oxi WHEN -1.0 THEN 1.5 WHEN -0.5 THEN 1.25 WHEN 0.0 THEN 1.0 WHEN 0.5 THEN 0.75 WHEN 1.0 THEN 0.5 ELSE 0.375 END
+  WHEN species = 'NO' THEN CASE WHEN oxi = -1.0 THEN 2.0 WHEN oxi = 1.0 THEN 0.75 WHEN oxi > 0 THEN 0.75 WHEN oxi < 0 THEN 2.0 ELSE 0.0 END ELSE 0.0 END::DOUBLE AS radius FROM o""",
         "composition": f"WITH {SITES} SELECT structure_id, species, round(count(*) / sum(count(*)) OVER (PARTITION BY structure_id), 6) AS share FROM sites GROUP BY structure_id, species",
         "boxed_molecules": f"""WITH {SITES}, e AS (SELECT structure_id, min(x) AS ax, min(y) AS ay, min(z) AS az, max(x) - min(x) + 20 AS lx FROM sites GROUP BY ALL)
 SELECT structure_id, site_i, round(x - ax + 10, 6) AS x, round(y - ay + 10, 6) AS y, round(z - az + 10, 6) AS z, round(lx, 6) AS edge FROM sites JOIN e USING (structure_id)""",

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..operators import geometry, graph, ids, labels, neighbors, relational, sequences
+from ..operators import geometry, graph, ids, labels, neighbors, radii, relational, sequences
 from ..options import IdOptions
-from ..schemas import EDGE
 from ..sources import orders
 from .session import stored, tuned
 
@@ -82,8 +81,7 @@ def on_graph(make: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 def cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     structures, sites = crystals(spark, sf_dir)
     base = graph.symmetric(neighbors.minimum_distance(structures, sites, 0.1, REACH))
-    own = neighbors.cluster_bonds(structures, sites, 6.0).where("k = 0 AND u = 0")
-    return graph.without_site(base, 0).unionByName(graph.symmetric(own).select(*EDGE)).distinct()
+    return graph.with_cluster_edges(base, neighbors.cluster_bonds(structures, sites, 6.0), 0, 0)
 
 
 def split_ids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -112,6 +110,13 @@ def mae(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.mean_absolute_error(all_, "actual", "predicted", "kind").withColumn("mae", F.round("mae", 4))
 
 
+def ionic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Radii by oxidation states made up for the derived crystals: halves from -1 to 1.5."""
+    _, sites = crystals(spark, sf_dir)
+    table = spark.createDataFrame([("AF", -1, 1.5), ("AF", 0, 1.0), ("AF", 1, 0.5), ("AF", 2, 0.25), ("NO", 1, 0.75), ("NO", -1, 2.0)], "species string, state int, radius double")
+    return radii.ionic_radii(sites.withColumn("oxi", (F.col("site_i") % 6) / 2.0 - 1.0), table)
+
+
 def boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     structures, sites = geometry.boxed(orders.sites(tuned(spark), sf_dir))
     out = sites.join(structures.select("structure_id", F.col("lattice")[0][0].alias("edge")), "structure_id")
@@ -211,6 +216,8 @@ def queries() -> dict[str, Query]:
         "formula_lookup": on_sites(lambda t: ids.formulas(t).where("formula = 'AFNO'")),
         "insert_if_absent": on_split(sinks.absent),
         "mae_by_split": mae,
+        "site_radii": on_sites(lambda t: radii.default_radii(t, {"AF": 0.5, "NO": 1.25, "RF": 0.75}, {"AO": 2.0, "NF": 1.0, "RO": 1.75})),
+        "ionic_radii": ionic,
         "composition": on_sites(lambda t: rounded(relational.composition(t), "share")),
         "boxed_molecules": boxed,
         "coincident_removed": lambda s, d: geometry.without_coincident(*crystals(s, d), 0.01).select("structure_id", "site_i", "species"),

@@ -148,3 +148,21 @@ def test_stream_keeps_the_first(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_command_line_identifies_files(spark, tmp_path):
+    from lattisphere.cli import identify
+
+    (tmp_path / "a.cif").write_text(SALT)
+    (tmp_path / "b.cif").write_text("nothing")
+    (tmp_path / "c.xyz").write_text("2\nH2\nH 0 0 0\nH 0.74 0 0\n")
+    found = {r.path[-5:]: r.graph_id for r in identify(spark, [str(tmp_path)]).collect()}
+    assert found["a.cif"] == "NaCl-3D-88c8e156db1b0fd9" and found["b.cif"] == "" and found["c.xyz"].startswith("H2-0D-")
+
+
+def test_covalent_cutoffs_bond_salt(spark):
+    from lattisphere.operators.radii import covalent_cutoffs
+
+    structures, sites = cif.tables(spark.createDataFrame([("a", SALT)], "k string, t string"), "k", "t")
+    edges = graph.symmetric(neighbors.cutoff_dict(structures, sites, covalent_cutoffs(["Na", "Cl"])))
+    assert {r.degree for r in graph.degree(sites, edges).collect()} == {6}
