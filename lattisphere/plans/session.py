@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def tuned(spark: SparkSession) -> SparkSession:
     """Let joins on (structure_id, ...) reuse a partitioning by structure_id alone, so a whole plan shuffles once."""
@@ -14,15 +17,40 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: `spark.checkpoint.dir`, or a temporary one where none is named (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="lattisphere-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may have ended; the folder's owner then clears it
+        pass
+
+
+@atexit.register
+def release_tables() -> None:
+    """Delete the tables that `stored` wrote; call it once the results that read them are kept elsewhere."""
+    while _written:
+        _delete(*_written.pop())
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write df into the shared folder (`spark.checkpoint.dir`, or a temporary one where unset) and read it back."""
+    """Cut the lineage: write df as Parquet into the shared folder and read it back.
+
+    A lost executor then costs at most a reread, never the stages before.
+    """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lattisphere-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/lattisphere-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lattisphere-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
