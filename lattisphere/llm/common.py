@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_written: list[tuple[SparkSession, str]] = []
+from ..plans.session import release_tables, stored as materialize
 
+__all__ = ["BATCH_ROWS", "Bounded", "materialize", "ranked", "read_table", "release_tables", "shuffle_width", "sum_arrays"]
 
 #: Rows in a batch that a Python worker gets at once. Texts are long: 10,000 of them, Spark's default, can be 100 MB.
 BATCH_ROWS = 2_000
@@ -28,43 +26,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or a temporary one where none is named (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lattisphere-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may have ended; the folder's owner then clears it
-        pass
-
-
-@atexit.register
-def release_tables() -> None:
-    """Delete the tables that `materialize` wrote; call it once their results are stored."""
-    while _written:
-        _delete(*_written.pop())
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back.
-
-    A lost executor then costs at most a reread, never the stages before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lattisphere-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
