@@ -27,7 +27,7 @@ def cached(df: DataFrame, path: str) -> DataFrame:
 def absent(new: DataFrame, existing: DataFrame, key: str = "graph_id", order: str = "structure_id") -> DataFrame:
     """The rows of `new` to insert: keys that `existing` lacks, the first row of each by `order`."""
     first = new.groupBy(key).agg(F.min_by(F.struct(*new.columns), order).alias("row")).select("row.*")
-    return first.join(existing.select(key), key, "left_anti")
+    return first.join(existing.select(key), key, "left_anti").select(*new.columns)
 
 
 def insert_if_absent(new: DataFrame, path: str, key: str = "graph_id", order: str = "structure_id") -> None:

@@ -15,6 +15,6 @@ def into_table(ids: DataFrame, path: str, checkpoint: str, key: str = "graph_id"
 
     def add(batch: DataFrame, _: int) -> None:
         new = batch.dropDuplicates([key])
-        new.join(batch.sparkSession.read.schema(batch.schema).parquet(path).select(key), key, "left_anti").write.mode("append").parquet(path)
+        new.join(batch.sparkSession.read.schema(batch.schema).parquet(path).select(key), key, "left_anti").select(*batch.columns).write.mode("append").parquet(path)
 
     return ids.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
