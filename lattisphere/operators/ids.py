@@ -26,19 +26,25 @@ ELECTRONEGATIVITY = {
 DIATOMIC = ("O", "N", "F", "Cl", "H")
 
 
-def formulas(sites: DataFrame) -> DataFrame:
-    """(structure_id, formula): counts over their gcd, by electronegativity, then name; a count of 1 is not written.
+def formula_of(species: Column) -> Column:
+    """The formula of an array of species: counts over their gcd, by electronegativity, then name; 1 is not written.
 
     An element of DIATOMIC alone is written with 2 atoms.
     """
     table = F.create_map(*[F.lit(x) for pair in ELECTRONEGATIVITY.items() for x in pair])
-    counts = sites.groupBy("structure_id", "species").agg(F.count("*").alias("n"))
-    rows = counts.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(F.try_element_at(table, F.col("species")), F.lit(1e9)).alias("x"), "species", "n"))).alias("parts"))
-    rows = rows.withColumn("g", gcd_of(F.transform("parts", lambda p: p["n"])))
-    alone = (F.size("parts") == 1) & F.col("parts")[0]["species"].isin(*DIATOMIC)
-    number = lambda p: F.when(alone, F.lit(2).cast("bigint")).otherwise((p["n"] / F.col("g")).cast("bigint"))
-    text = F.array_join(F.transform("parts", lambda p: F.concat(p["species"], F.when(number(p) == 1, F.lit("")).otherwise(number(p).cast("string")))), "")
-    return rows.select("structure_id", text.alias("formula"))
+    count = lambda s: F.size(F.filter(species, lambda x: x == s)).cast("bigint")
+    part = lambda s: F.struct(F.coalesce(F.try_element_at(table, s), F.lit(1e9)).alias("x"), s.alias("species"), count(s).alias("n"))
+    parts = F.array_sort(F.transform(F.array_distinct(species), part))
+    divisor = gcd_of(F.transform(F.array_distinct(species), count))
+    alone = (F.size(F.array_distinct(species)) == 1) & species[0].isin(*DIATOMIC)
+    number = lambda p: F.when(alone, F.lit(2).cast("bigint")).otherwise((p["n"] / divisor).cast("bigint"))
+    return F.array_join(F.transform(parts, lambda p: F.concat(p["species"], F.when(number(p) == 1, F.lit("")).otherwise(number(p).cast("string")))), "")
+
+
+def formulas(sites: DataFrame) -> DataFrame:
+    """(structure_id, formula)."""
+    rows = sites.groupBy("structure_id").agg(F.collect_list("species").alias("species"))
+    return rows.select("structure_id", formula_of(F.col("species")).alias("formula"))
 
 
 def component_digests(environments: DataFrame, components: DataFrame, digest: str = "blake2b", reduce: bool = False) -> DataFrame:
@@ -78,7 +84,7 @@ def prefixed(ids: DataFrame, sites: DataFrame, edges: DataFrame, options: IdOpti
     return ids.select("structure_id", F.concat_ws("-", *parts).alias("graph_id"))
 
 
-_IDS = T.StructType([T.StructField("graph_id", T.StringType()), T.StructField("comp", T.ArrayType(T.IntegerType())), T.StructField("cs", T.ArrayType(T.StringType())), T.StructField("digests", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
+_IDS = T.StructType([T.StructField("graph_id", T.StringType()), T.StructField("comp", T.ArrayType(T.IntegerType())), T.StructField("cs", T.ArrayType(T.StringType())), T.StructField("digests", T.ArrayType(T.StringType())), T.StructField("dim", T.IntegerType()), T.StructField("error", T.StringType())])
 
 
 def _kernel_ids(options: IdOptions, catch: bool) -> Column:
@@ -92,18 +98,18 @@ def _kernel_ids(options: IdOptions, catch: bool) -> Column:
                     base = kernel.ring_labels(len(own), rows, own, options.diameter_factor, options.additional_depth)
                 comp, cs = kernel.sequences(len(own), rows, base, options.diameter_factor, options.additional_depth)
                 digests = kernel.component_digests(comp, cs, options.reduce)
-                out.append({"graph_id": kernel.structure_digest(digests, options.digest_size), "comp": comp, "cs": cs, "digests": digests, "error": None})
+                out.append({"graph_id": kernel.structure_digest(digests, options.digest_size), "comp": comp, "cs": cs, "digests": digests, "dim": kernel.dimension(len(own), rows), "error": None})
             except Exception as e:
                 if not catch:
                     raise
-                out.append({"graph_id": "", "comp": None, "cs": None, "digests": None, "error": str(e)})
-        return pa.array(out, pa.struct([("graph_id", pa.string()), ("comp", pa.list_(pa.int32())), ("cs", pa.list_(pa.string())), ("digests", pa.list_(pa.string())), ("error", pa.string())]))
+                out.append({"graph_id": "", "comp": None, "cs": None, "digests": None, "dim": None, "error": str(e)})
+        return pa.array(out, pa.struct([("graph_id", pa.string()), ("comp", pa.list_(pa.int32())), ("cs", pa.list_(pa.string())), ("digests", pa.list_(pa.string())), ("dim", pa.int32()), ("error", pa.string())]))
 
     return run("species", "edges", "labels")
 
 
 def kernel_rows(sites: DataFrame, edges: DataFrame, options: IdOptions = IdOptions(), given: DataFrame | None = None, catch: bool = False) -> DataFrame:
-    """(structure_id, species, graph_id, comp, cs, digests, error) in one pass over assembled structures.
+    """(structure_id, species, graph_id, comp, cs, digests, dim, error) in one pass over assembled structures.
 
     given: own start labels (structure_id, site_i, label), such as Wyckoff labels. With catch, a structure that fails has
     the id "" and its error.
@@ -126,8 +132,14 @@ def graph_ids(structures: DataFrame, sites: DataFrame, options: IdOptions = IdOp
 def ids_of_graph(sites: DataFrame, edges: DataFrame, options: IdOptions = IdOptions(), letters: DataFrame | None = None, catch: bool = False) -> DataFrame:
     """(structure_id, graph_id) of a given bond graph."""
     given = labels.wyckoff(sites, letters, options.topology_only) if options.wyckoff and letters is not None else None
-    ids = kernel_rows(sites, edges, options, given, catch).select("structure_id", "graph_id")
-    return prefixed(ids, sites, edges, options) if options.prepend_composition or options.prepend_dimensionality else ids
+    rows = kernel_rows(sites, edges, options, given, catch)
+    parts = [F.col("graph_id")]
+    if options.prepend_dimensionality:
+        parts = [F.concat(F.col("dim").cast("string"), F.lit("D")), *parts]
+    if options.prepend_composition and not options.topology_only:
+        parts = [formula_of(F.col("species")), *parts]
+    whole = F.concat_ws("-", *parts)
+    return rows.select("structure_id", F.when(F.col("error").isNull(), whole).otherwise("").alias("graph_id"))
 
 
 def maker_ids(structures: DataFrame, sites: DataFrame, options: IdOptions = IdOptions(), **of_strategy) -> DataFrame:
