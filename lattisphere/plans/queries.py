@@ -37,8 +37,16 @@ def ids_md5(spark: SparkSession, sf_dir: str, depth: int, label=labels.elements,
 
 
 def digests_md5(spark: SparkSession, sf_dir: str, depth: int, label=labels.elements, reduce: bool = False) -> DataFrame:
+    return digests_of(*stored_graph(spark, sf_dir), depth, label, reduce)
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The bond graph with its edges written once, for plans that read them several times."""
     sites, edges = bond_graph(spark, sf_dir)
-    edges = stored(edges, "bonds")  # for the environments and for the components
+    return sites, stored(edges, "bonds")
+
+
+def digests_of(sites: DataFrame, edges: DataFrame, depth: int, label=labels.elements, reduce: bool = False) -> DataFrame:
     levels = sequences.level_strings(sites, edges, label(sites), depth)
     return ids.component_digests(sequences.environments(levels, "md5"), graph.components(sites, edges), "md5", reduce)
 
@@ -100,7 +108,8 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ids.prefixed(ids_md5(spark, sf_dir, 1), *bond_graph(spark, sf_dir))
+    sites, edges = stored_graph(spark, sf_dir)
+    return ids.prefixed(ids.structure_ids(digests_of(sites, edges, 1), digest="md5"), sites, edges)
 
 
 def mae(spark: SparkSession, sf_dir: str) -> DataFrame:
