@@ -123,11 +123,13 @@ def _shared_tokens(docs: DataFrame, text: str, sketch: np.ndarray, size: int, pe
     """(token, set, extra): prefix shingles that at least two sets have in their prefixes."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed width
     ordinary = float(np.median(sketch)) * 1.5
+    # a bucket holds about this many rows; a shingle that may have as many alone is dealt over all buckets by its owners
+    hot = ordinary + max(1000.0, float(sketch.sum()) / (4 * buckets))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
         for b in batches:
-            tokens, owners = [], []
+            tokens, owners, common = [], [], []
             for t in b["text"].to_pylist():
                 found = shingles(t, size)
                 if not len(found):
@@ -141,12 +143,14 @@ def _shared_tokens(docs: DataFrame, text: str, sketch: np.ndarray, size: int, pe
                 p, extra = prefix_length(np.maximum(0.0, f[order] - ordinary), percent)
                 tokens.append(found[order[:p]] & _TOKEN | np.uint64(extra))
                 owners.append(np.full(p, k, np.int64))
+                common.append(f[order[:p]] >= hot)
             if len(seen) > 500_000:
                 seen.clear()
             if not tokens:
                 continue
             token, owner = np.concatenate(tokens), np.concatenate(owners)
             bucket = ((token >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+            bucket = np.where(np.concatenate(common), buckets + owner % buckets, bucket).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             used, start = np.unique(bucket[order], return_index=True)
             ends = np.append(start, len(order))[1:]
@@ -162,7 +166,7 @@ def _shared_tokens(docs: DataFrame, text: str, sketch: np.ndarray, size: int, pe
         new = np.append(True, ~(same_token & (owner[1:] == owner[:-1])))  # a set that several tasks met counts once
         token, owner = token[new], owner[new]
         same = (token[1:] & _TOKEN) == (token[:-1] & _TOKEN)
-        several = np.append(False, same) | np.append(same, False)
+        several = np.append(False, same) | np.append(same, False) | (table["bucket"][0].as_py() >= buckets)  # a part of a hot shingle's owners
         token, owner = token[several], owner[several]
         return pa.table({"token": pa.array((token & _TOKEN).view(np.int64)), "set": pa.array(owner), "extra": pa.array((token & ~_TOKEN).astype(np.int32))})
 
@@ -231,25 +235,29 @@ def _crossing(tokens: DataFrame, sets: DataFrame, comps: DataFrame, percent: int
 
     def propose(table: pa.Table) -> pa.Table:
         cols = {c: table[c].to_numpy() for c in ("token", "set", "n", "comp", "extra")}
-        order = np.lexsort((cols["set"], cols["token"]))
+        order = np.lexsort((cols["set"], cols["comp"], cols["token"]))
         token, owner, n, comp, extra = (cols[c][order] for c in ("token", "set", "n", "comp", "extra"))
         rest = n - np.minimum(n, n - (-(-percent * n // 100)) + extras[extra])
-        edges = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        new = np.append(True, token[1:] != token[:-1])
+        edges = np.append(np.flatnonzero(new), len(token))
+        runs = np.append(np.flatnonzero(new | np.append(True, comp[1:] != comp[:-1])), len(token))
+        ends = edges[np.searchsorted(edges, np.arange(len(token)), "right")]  # of each row's shingle
+        nexts = runs[np.searchsorted(runs, np.arange(len(token)), "right")]  # and of its component there
         made: list[np.ndarray] = []
-        held = 0
-        for s, e in zip(edges, np.append(edges, len(token))[1:]):
-            for i in range(s, e - 1):
-                j = np.arange(i + 1, e)
-                j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
-                if len(j):
-                    out = np.empty(len(j), pair)
-                    out["x"], out["y"], out["c"] = owner[i], owner[j], 1
-                    out["need"] = np.maximum(1, alpha(n[i], n[j], percent) - np.maximum(rest[i], rest[j]))
-                    made.append(out)
-                    held += len(j)
-            if held > 2_000_000:  # what memory holds is bounded by the pairs, not by their shared shingles
+        held, most = 0, 2_000_000
+        for i in np.flatnonzero(nexts < ends):
+            j = np.arange(nexts[i], ends[i])
+            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+            if len(j):
+                out = np.empty(len(j), pair)
+                out["x"], out["y"], out["c"] = np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j]), 1
+                out["need"] = np.maximum(1, alpha(n[i], n[j], percent) - np.maximum(rest[i], rest[j]))
+                made.append(out)
+                held += len(j)
+            if held > most:  # what memory holds is bounded by the pairs, not by their shared shingles
                 made = [merged(np.concatenate(made))]
                 held = len(made[0])
+                most = max(most, 2 * held)
         if not made:
             return pa.table({"half": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary())})
         found = merged(np.concatenate(made))
