@@ -26,25 +26,26 @@ ELECTRONEGATIVITY = {
 DIATOMIC = ("O", "N", "F", "Cl", "H")
 
 
-def formula_of(species: Column) -> Column:
-    """The formula of an array of species: counts over their gcd, by electronegativity, then name; 1 is not written.
+def with_formula(rows: DataFrame, species: str = "species", name: str = "formula") -> DataFrame:
+    """rows with the formula of an array of species: counts over their gcd, by electronegativity, then name.
 
-    An element of DIATOMIC alone is written with 2 atoms.
+    A count of 1 is not written; an element of DIATOMIC alone is written with 2 atoms.
     """
     table = F.create_map(*[F.lit(x) for pair in ELECTRONEGATIVITY.items() for x in pair])
     count = lambda s: F.size(F.filter(species, lambda x: x == s)).cast("bigint")
     part = lambda s: F.struct(F.coalesce(F.try_element_at(table, s), F.lit(1e9)).alias("x"), s.alias("species"), count(s).alias("n"))
-    parts = F.array_sort(F.transform(F.array_distinct(species), part))
-    divisor = gcd_of(F.transform(F.array_distinct(species), count))
-    alone = (F.size(F.array_distinct(species)) == 1) & species[0].isin(*DIATOMIC)
-    number = lambda p: F.when(alone, F.lit(2).cast("bigint")).otherwise((p["n"] / divisor).cast("bigint"))
-    return F.array_join(F.transform(parts, lambda p: F.concat(p["species"], F.when(number(p) == 1, F.lit("")).otherwise(number(p).cast("string")))), "")
+    rows = rows.withColumn("__parts", F.array_sort(F.transform(F.array_distinct(species), part)))
+    rows = rows.withColumn("__g", gcd_of(F.transform("__parts", lambda p: p["n"])))
+    alone = (F.size("__parts") == 1) & F.col("__parts")[0]["species"].isin(*DIATOMIC)
+    number = lambda p: F.when(alone, F.lit(2).cast("bigint")).otherwise((p["n"] / F.col("__g")).cast("bigint"))
+    text = F.transform("__parts", lambda p: F.concat(p["species"], F.when(number(p) == 1, F.lit("")).otherwise(number(p).cast("string"))))
+    return rows.withColumn(name, F.array_join(text, "")).drop("__parts", "__g")
 
 
 def formulas(sites: DataFrame) -> DataFrame:
     """(structure_id, formula)."""
     rows = sites.groupBy("structure_id").agg(F.collect_list("species").alias("species"))
-    return rows.select("structure_id", formula_of(F.col("species")).alias("formula"))
+    return with_formula(rows).select("structure_id", "formula")
 
 
 def component_digests(environments: DataFrame, components: DataFrame, digest: str = "blake2b", reduce: bool = False) -> DataFrame:
@@ -137,7 +138,8 @@ def ids_of_graph(sites: DataFrame, edges: DataFrame, options: IdOptions = IdOpti
     if options.prepend_dimensionality:
         parts = [F.concat(F.col("dim").cast("string"), F.lit("D")), *parts]
     if options.prepend_composition and not options.topology_only:
-        parts = [formula_of(F.col("species")), *parts]
+        rows = with_formula(rows)
+        parts = [F.col("formula"), *parts]
     whole = F.concat_ws("-", *parts)
     return rows.select("structure_id", F.when(F.col("error").isNull(), whole).otherwise("").alias("graph_id"))
 
