@@ -91,27 +91,27 @@ def facets(lattice: list, coords: list, site: int, cutoff: float = 13.0, adjacen
     """
     lattice, coords = np.array(lattice, float), np.array(coords, float)
     corner = max(float(np.linalg.norm(np.array(s) @ lattice)) for s in product((-1, 1), repeat=3)) + 0.01
-    r = min(cutoff, corner)
+    r = min(cutoff, corner, 2 * (abs(float(np.linalg.det(lattice))) / len(coords)) ** (1 / 3))
+    size = 4 * max(cutoff, corner)
+    cube: dict = {}
+    for axis, sign in product(range(3), (-1, 1)):
+        loop = np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]], float) * size
+        cube[f"wall{axis}{sign}"] = np.insert(loop, axis, sign * size, axis=1)
+    corners, far, done = np.concatenate(list(cube.values())), 2 * size, 0
     while True:
-        near = images_within(lattice, coords, coords[site], r)
-        size = 2 * max(r, corner)
-        cube: dict = {}
-        for axis, sign in product(range(3), (-1, 1)):
-            loop = np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]], float) * size
-            cube[f"wall{axis}{sign}"] = np.insert(loop, axis, sign * size, axis=1)
-        corners = np.concatenate(list(cube.values()))
-        far = float(np.linalg.norm(corners, axis=1).max())
-        for k, (_, _, d, v) in enumerate(near):
+        near = images_within(lattice, coords, coords[site], r)  # sorted: a wider search only appends
+        for k in range(done, len(near)):
+            d, v = near[k][2:]
             if d > 2 * far + 1e-9:
                 break
             if (corners @ (v / d)).max() > d / 2 + 1e-10:
                 _clip(cube, v / d, d / 2, k)
                 corners = np.concatenate(list(cube.values()))
-                far = float(np.linalg.norm(corners, axis=1).max())
-        closed = not any(isinstance(k, str) for k in cube)
-        if closed and 2 * far <= r + 1e-6 or r > 4 * corner:
+                far = float(np.sqrt((corners**2).sum(1).max()))
+        done = len(near)
+        if 2 * far <= r + 1e-6 or r > 4 * corner:
             break
-        r *= 2
+        r = min(1.5 * r, 2 * far + 1e-6)
     out = []
     for k, loop in cube.items():
         if isinstance(k, str):

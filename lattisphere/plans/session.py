@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -56,7 +57,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def spread(df: DataFrame, key: str = "structure_id") -> DataFrame:
     """df dealt by key over at least all cores, for rows that are few in bytes but long to work on: adaptive execution
-    would put them into one task."""
+    would put them into one task. Dealt by a hash of the key, as a repartition by the key itself is dropped where a join has
+    already dealt by it."""
     spark = df.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return df.repartition(width, key)
+    return df.repartition(width, F.xxhash64(key))
