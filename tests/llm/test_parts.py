@@ -88,6 +88,15 @@ def test_segments():
     assert segments(None) == segments("") == []
 
 
+def test_names_are_whole_attributes():
+    kept = lambda page: " ".join(t for zone, t in segments(page) if zone == KEPT)
+    assert kept('<article style="overflow:hidden"><p>all of it</p></article>') == "all of it"
+    assert kept('<article>to <a href="/hidden-gems">gems</a> and <a href="/x?id=comments">on</a> <b data-id="menu" title=" id=ad ">top</b></article>') == "to gems and on top"
+    assert kept('<article class="post category-social"><h2 id="discussion">Discussion</h2><section id="discussion">a</section><p class="social-science" id="related-work">b</p></article>') == "Discussion a b"
+    assert kept("<article>a<p class='wide ad'>x</p><div id=comments>x</div><p HIDDEN>x</p><p aria-hidden = 'true'>x</p><p role=menu>x</p>b</article>") == "a b"
+    assert segments("<div class='site-footer'>x</div><div data-class='ad' style='visibility:hidden'>y</div>") == [(GONE, "x"), (OPEN, "y")]
+
+
 def test_boilerplate_of_a_host(spark):
     notice = "subscribe to our weekly list of very long news items today and tomorrow"
     rows = [(i, f"http://h.com/{i}", f"<div>{notice}</div><div>{' '.join(f'p{i}w{k}' for k in range(12))}</div>") for i in range(4)]
