@@ -97,6 +97,17 @@ def test_names_are_whole_attributes():
     assert segments("<div class='site-footer'>x</div><div data-class='ad' style='visibility:hidden'>y</div>") == [(GONE, "x"), (OPEN, "y")]
 
 
+def test_implied_ends():
+    kept = lambda page: [t for zone, t in segments(f"<article>{page}</article>") if zone == KEPT]
+    assert kept('<p class="ad">buy<p>real <b>text<p>more text') == ["real text", "more text"]
+    assert kept('<p class="ad">buy<div>real</div><p class="ad">buy<h2>more</h2>') == ["real", "more"]
+    assert kept('<ul><li class="ad">x<li>real<ul><li class="ad"><p>x<li>deep</ul>after<li>more</ul>') == ["real", "deep", "after", "more"]
+    assert kept('<dl><dt class="ad">x<dd>a<dd class="ad">x<dt>b</dl>') == ["a", "b"]
+    assert kept('<table><tr><td class="ad">x<td>a<table><tr class="ad"><td>x<tr><td>in</table>b<th>c<tr class="ad"><td>x<tbody><tr><td>d</table>e') == ["a", "in", "b", "c", "d", "e"]
+    assert segments('<p class="ad">x<p>y') == [(GONE, "x"), (OPEN, "y")]
+    assert segments("<html><head><meta charset=utf-8><title>t</title><body><p>a") == segments("<head><title>t</title><p>a") == [(OPEN, "a")]
+
+
 def test_boilerplate_of_a_host(spark):
     notice = "subscribe to our weekly list of very long news items today and tomorrow"
     rows = [(i, f"http://h.com/{i}", f"<div>{notice}</div><div>{' '.join(f'p{i}w{k}' for k in range(12))}</div>") for i in range(4)]
