@@ -162,12 +162,14 @@ def queries() -> dict[str, Query]:
         "periodic_pairs_binned": pairs(3.0, geometry.binned_pairs),
         "nn_min_distance": strategy("minimum_distance", cutoff=REACH),
         "nn_all_sites": strategy("minimum_distance", cutoff=3.0, get_all_sites=True),
+        "nn_all_sites_r10": strategy("minimum_distance", get_all_sites=True),
         "nn_okeeffe": okeeffe,
         "nn_cutoff_dict": strategy("cutoff_dict", cutoffs=cutoffs),
         "nn_brunner_reciprocal": strategy("brunner_reciprocal"),
         "nn_brunner_relative": strategy("brunner_relative"),
         "nn_brunner_real": strategy("brunner_real"),
         "nn_econ": strategy("econ", cutoff=4.0),
+        "nn_econ_r10": strategy("econ"),
         "nn_voronoi": strategy("voronoi", cutoff=6.0),
         "nn_crystal": strategy("crystal"),
         "distance_clusters": lambda s, d: rounded(neighbors.distance_clusters(*crystals(s, d)), "bound"),
