@@ -174,6 +174,7 @@ def queries() -> dict[str, Query]:
         "nn_crystal": strategy("crystal"),
         "distance_clusters": lambda s, d: rounded(neighbors.distance_clusters(*crystals(s, d)), "bound"),
         "nn_distance_cluster": lambda s, d: neighbors.cluster_bonds(*crystals(s, d)).where("k < 2"),
+        "nn_distance_cluster_all": lambda s, d: neighbors.cluster_bonds(*crystals(s, d)),
         "graph_edges_symmetric": on_graph(lambda sites, edges: edges),
         "graph_one_direction": on_graph(lambda sites, edges: graph.one_direction(edges)),
         "graph_break_site": on_graph(lambda sites, edges: graph.without_site(edges, 0)),
@@ -207,7 +208,7 @@ def queries() -> dict[str, Query]:
         "maker_ids_depth2": lambda s, d: maker_ids(*crystals(s, d), IdOptions(depth=2), cutoff=REACH),
         "maker_ids_reduced": lambda s, d: maker_ids(*crystals(s, d), IdOptions(depth=2, reduce=True), cutoff=REACH),
         "merged_ids_blake2b": on_graph(lambda sites, edges: ids.merged_ids(sites.select("structure_id", (F.col("structure_id") % 100).alias("merge_key")).distinct(), sites, edges)),
-        "clustering_ids": lambda s, d: clustering_ids(*crystals(s, d), IdOptions(rank_k=2), base_cutoff=REACH),
+        "clustering_ids": lambda s, d: clustering_ids(*crystals(s, d), IdOptions(), base_cutoff=REACH),
         "formulas": on_sites(ids.formulas),
         "ids_prefixed": prefixed,
         "merged_ids_by_customer": merged,

@@ -39,6 +39,7 @@ def test_runs(spark, name):
 #: Queries without SQL of their own that do the whole of one with SQL: that SQL's name, its limit, and the limit of the whole.
 WHOLE = {
     "nn_all_sites_r10": ("nn_all_sites", "dist < 3.0", "dist < 10.0"),
+    "nn_distance_cluster_all": ("nn_distance_cluster", "l.k < 2 AND ", ""),
     "nn_econ_r10": ("nn_econ", "dist < 4.0", "dist < 10.0"),
 }
 
@@ -56,3 +57,13 @@ def test_whole_matches_widened_sql(spark, duck, name):
     mine, other = order(mine), order(other)
     assert len(mine) == len(other) > len(duck.execute(sql).df())
     assert all(((mine[c] - other[c]).abs() < 2e-6).all() if c == "weight" else (mine[c] == other[c]).all() for c in columns)
+
+
+def test_clustering_takes_all_ranks(spark):
+    from lattisphere.operators.ids import clustering_ids
+    from lattisphere.options import IdOptions
+
+    ids = lambda df: {r.structure_id: r.graph_id for r in df.collect()}
+    made = lambda **k: ids(clustering_ids(*queries.crystals(spark, SF), IdOptions(**k), base_cutoff=queries.REACH))
+    found = ids(queries.queries()["clustering_ids"](spark, SF))
+    assert found == made() != made(rank_k=2)
