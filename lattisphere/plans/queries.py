@@ -225,6 +225,7 @@ def queries() -> dict[str, Query]:
         "group_split": on_ids(lambda t: relational.hash_split(t, F.col("graph_id"), 5)),
         "site_histogram": on_graph(lambda sites, edges: relational.histogram(named(sequences.level_strings(sites, edges, labels.elements(sites), 1)))),
         "id_lookup": on_ids(lambda t: relational.look_up(t.where("structure_id % 100 = 0"), t)),
+        "id_lookup_all": on_ids(lambda t: relational.look_up(t, t)),
         "formula_lookup": on_sites(lambda t: ids.formulas(t).where("formula = 'AFNO'")),
         "insert_if_absent": on_split(sinks.absent),
         "mae_by_split": mae,

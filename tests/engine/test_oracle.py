@@ -38,6 +38,7 @@ def test_runs(spark, name):
 
 #: Queries without SQL of their own that do the whole of one with SQL: that SQL's name, its limit, and the limit of the whole.
 WHOLE = {
+    "id_lookup_all": ("id_lookup", " WHERE structure_id % 100 = 0", ""),
     "nn_all_sites_r10": ("nn_all_sites", "dist < 3.0", "dist < 10.0"),
     "nn_distance_cluster_all": ("nn_distance_cluster", "l.k < 2 AND ", ""),
     "nn_econ_r10": ("nn_econ", "dist < 4.0", "dist < 10.0"),
