@@ -11,8 +11,9 @@ false-discovery control works on the other side: the likelihood ratio of the uni
 an e-value under "ordinary text", it grows with the length (a short token can't reach a large one), and the
 e-Benjamini-Hochberg rule over all candidates of the text bounds the share of ordinary tokens among the discoveries.
 
-Defined results: null or empty text: no spans. Ties of start: in the order of KINDS. A `random` span that meets a base
-span is not reported again. Repeated rows give equal results; other columns are not read.
+Defined results: null or empty text: no spans. Ties of start: in the order of KINDS. Base spans are cut
+out of a candidate; what is left of it in pieces of 20 or more characters is a candidate of its own, so no `random` span meets a
+base span. Repeated rows give equal results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -134,6 +135,25 @@ def random_tokens(text: str, runs: list[tuple[int, int]], alpha: float = 0.01, r
     return [(s, e) for _, s, e, code in family[:found] if battery(text[s:e], code)["combined"] >= reject]
 
 
+def _free(text: str, runs: list[tuple[int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The runs, and of those that base spans meet what is left between the spans, where it is long enough for a candidate."""
+    out = []
+    spans = sorted((s, e) for s, e, _ in found)
+    for a, b in runs:
+        met = [(s, e) for s, e in spans if s < b and a < e]
+        if not met:
+            out.append((a, b))
+            continue
+        at = a
+        for s, e in [*met, (b, b)]:
+            left = at + (at > a and at < s and text[at] in "+/_-")  # the mark that joins the rest to a span is not its own
+            right = s - (s < b and s > left and text[s - 1] in "+/_-")
+            if _RUN.fullmatch(text, left, max(left, right)):
+                out.append((left, right))
+            at = max(at, e)
+    return out
+
+
 def find_secrets(text: str | None) -> list[tuple[int, int, int]]:
     """Spans (start, end, index of the kind) of one text, in code points, ends exclusive, in order."""
     if not text:
@@ -147,8 +167,7 @@ def find_secrets(text: str | None) -> list[tuple[int, int, int]]:
         found += [(*m.span(), 1) for m in ACCESS.finditer(text, a, b)]
         found += [(*m.span(), 2) for m in HEX.finditer(text, a, b)]
     if runs:
-        free = [(a, b) for a, b in runs if not any(s < b and a < e for s, e, _ in found)]
-        found += [(a, b, 3) for a, b in random_tokens(text, free)]
+        found += [(a, b, 3) for a, b in random_tokens(text, _free(text, runs, found))]
     return sorted(found, key=lambda x: (x[0], x[2], x[1]))
 
 
