@@ -17,8 +17,9 @@ Verification intersects the whole sets. Components are found by label propagatio
 Every stage is cut by a table in the shared folder; nothing of all documents reaches the driver but the sketch.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; with fewer than `size` words the whole
-sequence is one shingle. A row without doc_id has no component (null) and links with nothing. Rows with one doc_id are one
-document as far as components go. Repeated rows are returned as often as they occur; other columns are not read.
+sequence is one shingle. A row without doc_id has no component (null) and links with nothing. Rows with one doc_id
+are known by their own texts: equal ones are in one component, others only if links join them. Repeated rows are returned as
+often as they occur by `jaccard_components`, and once by `one_of_each`; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import Bounded, materialize, shuffle_width, sum_arrays
@@ -276,8 +278,8 @@ def _crossing(tokens: DataFrame, sets: DataFrame, comps: DataFrame, percent: int
     return proposed.groupBy("half").applyInArrow(enough, "x bigint, y bigint")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles long, component_id): component_id is the smallest key reachable by links, itself included."""
+def _components(docs: DataFrame, percent: int, size: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, set, n) of all texts, and (set, comp, component_id) of all sets: the component and its smallest key."""
     buckets = shuffle_width(docs.sparkSession)
     scan = materialize(_scan(docs, key, text, size), "scan")
     sketch = sum_arrays(scan.where("chunk IS NOT NULL").select("chunk", "counts"), 1 << SKETCH_BITS)
@@ -306,12 +308,38 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE
     second = components(between.where("x <> y").distinct()).select(F.col("set").alias("comp"), F.col("comp").alias("further"))
     named = sets.join(first, "set", "left").withColumn("comp", F.coalesce("comp", "set")).join(second, "comp", "left").withColumn("comp", F.coalesce("further", "comp"))
     smallest = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    named = named.select("set", "comp").join(smallest, "comp").select("set", "component_id")
-    return rows.join(named, "set", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
+    return rows, named.select("set", "comp").join(smallest, "comp")
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles long, component_id): component_id is the smallest key reachable by links, itself included."""
+    rows, named = _components(docs, percent, size, key, text)
+    return rows.join(named.drop("comp"), "set", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that are not the smallest key of their component; all columns stay, rows without key stay."""
-    found = jaccard_components(docs, percent, size, key, text)
-    gone = materialize(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "copies")
-    return docs.join(gone, key, "left_anti")
+    """One row of each component, of its smallest key; all columns stay, rows without key or without words stay.
+
+    A key that occurs once stands for its row. The rows of a key that occurs more often are judged one by one, by their
+    own text; of several with the component's smallest key one stays.
+    """
+    rows, named = _components(docs, percent, size, key, text)
+    named = materialize(named, "components")
+    several = materialize(rows.where("doc IS NOT NULL").groupBy("doc").count().where("count > 1").select("doc"), "repeated-keys")
+    copies = rows.join(named, "set").where(F.col("doc") != F.col("component_id")).select("doc")
+    gone = materialize(copies.union(several).distinct().withColumnRenamed("doc", key), "copies")
+    kept = docs.join(gone, key, "left_anti")
+    if several.isEmpty():
+        return kept
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, size) for t in b[text].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())], names=[*b.schema.names, "__set"])
+
+    own = docs.join(several.withColumnRenamed("doc", key), key, "left_semi").withColumn("__row", F.monotonically_increasing_id())
+    own = materialize(own.mapInArrow(keyed, StructType([*own.schema.fields, StructField("__set", LongType())])), "repeated-rows")
+    judged = own.select("__row", F.col("__set").alias("set"), F.col(key).alias("doc"), F.xxhash64(text).alias("h")).join(named, "set").where(F.col("doc") == F.col("component_id"))
+    first = judged.groupBy("comp").agg(F.min(F.struct("h", "__row"))["__row"].alias("__row")).select("__row")
+    stay = own.where("__set IS NULL").select("__row").union(first)
+    return kept.unionByName(own.join(stay, "__row", "left_semi").select(*docs.columns))
