@@ -133,4 +133,4 @@ def test_boilerplate_of_a_host(spark):
     rows += [(9, "http://other.com/", f"<p>{notice}</p>"), (10, "http://h.com/0", rows[0][2]), (11, None, None)]
     found = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found[1] == " ".join(f"p1w{k}" for k in range(12))
-    assert found[9] == notice and found[11] == ""
+    assert found[9] == notice and found[11] == "" and found[0] == found[10] == " ".join(f"p0w{k}" for k in range(12))
