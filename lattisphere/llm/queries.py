@@ -66,8 +66,7 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.arrow_udf(digest)
     def round_trip(texts: pa.Array) -> pa.Array:
         own, out = codec(path), []
-        for text in texts.to_pylist():
-            ids = own.encode(text)
+        for ids in own.encode_many(texts.to_pylist()):
             listed, decoded = " ".join(map(str, ids)), own.decode(ids)
             out.append({"n_tokens": len(ids), "ids_sha256": hashlib.sha256(listed.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(decoded.encode()).hexdigest()})
         return pa.array(out, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
