@@ -3,24 +3,34 @@
 Base kinds, leftmost and non-overlapping each on its own: `assign` (a keyword, then : or =, then a value of at
 least 6 characters; the span is the whole match), `access` (AKIA key ids) and `hex` (24 or more hex digits).
 
-The method adds spans of kind `random`. A candidate is a maximal run of token characters that mixes character
-classes. Its encoding is inferred as the smallest known alphabet that holds it. Chi-squared uniformity over the
-alphabet, a runs test about the alphabet's middle, and the lag-1 serial correlation give three p-values under
-"uniform over that encoding", combined by Fisher's method; a candidate that this rejects is no random token. The
-false-discovery control works on the other side: the likelihood ratio of the uniform source against ordinary text is
-an e-value under "ordinary text", it grows with the length (a short token can't reach a large one), and the
-e-Benjamini-Hochberg rule over all candidates of the text bounds the share of ordinary tokens among the discoveries.
+The method adds spans of kind `random`. A candidate is a maximal run of 20 or more token characters that is no plain
+number. Its encoding is inferred as the smallest known alphabet that holds it. Chi-squared uniformity over the alphabet, a
+runs test about the alphabet's middle, and the lag-1 serial correlation give three p-values under "uniform over that
+encoding", combined by Fisher's method.
+
+Random tokens are those that pass the battery although ordinary ones of their encoding and length would not. What the
+combined statistic is for ordinary tokens is drawn once, from fixed tables of letters and of changes between
+classes of characters, for each encoding and length; its square root is near normal, so a candidate gets the p-value
+of a statistic as low as its own under "ordinary token". Short tokens can't reach small values: the tests have no power
+there. All distinct candidates of the whole table are one family for the weighted Benjamini-Hochberg rule, with weights
+in proportion to the length (up to LONG): among the tokens reported as random at most `alpha` are expected to be
+ordinary, as far as the tables describe ordinary ones. The rule reads a histogram of p-values, so the driver gets a few
+hundred numbers.
 
 Defined results: null or empty text: no spans. Ties of start: in the order of KINDS. Base spans are cut
 out of a candidate; what is left of it in pieces of 20 or more characters is a candidate of its own, so no `random` span meets a
-base span. Repeated rows give equal results; other columns are not read.
+base span. Repeated rows give equal results, and repeated tokens count once in the family; other columns are not read. In an
+empty table nothing is found.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +48,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
-_DIGIT, _UPPER, _LOWER, _MARK = re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[a-z]"), re.compile("[+/_-]")
 _D, _U, _L = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: From small to large; the first that holds a token is its encoding.
 ENCODINGS = {
     "hex": _D + _L[:6],
     "HEX": _D + _U[:6],
+    "lower26": _L,
+    "upper26": _U,
     "base32": _U + "234567",
     "lower36": _D + _L,
     "upper36": _D + _U,
@@ -52,20 +63,35 @@ ENCODINGS = {
     "base64url": _U + _L + _D + "-_",
     "any": _U + _L + _D + "+/-_",
 }
-_VALUES = {name: {c: i for i, c in enumerate(letters)} for name, letters in ENCODINGS.items()}
-
 # Letters of ordinary European text per 1000, a to z.
 _LETTERS = (80, 15, 30, 40, 130, 18, 17, 40, 75, 3, 6, 45, 26, 72, 70, 22, 4, 64, 68, 80, 35, 11, 14, 3, 15, 7)
-_LOG_LETTER = {c: math.log(f / sum(_LETTERS)) for low, up in [(_L, _U)] for s in (low, up) for c, f in zip(s, _LETTERS)}
 # How often ordinary tokens change from one class of characters (row) to another: lower, upper, digit, mark.
 _TURN = {"l": (0.93, 0.02, 0.01, 0.04), "u": (0.40, 0.55, 0.01, 0.04), "d": (0.03, 0.02, 0.90, 0.05), "m": (0.60, 0.20, 0.15, 0.05)}
-_LOG_TURN = {a: dict(zip("ludm", map(math.log, row))) for a, row in _TURN.items()}
+#: The expected share of ordinary tokens among those reported as random; lengths at which ordinary tokens are drawn;
+#: the length from which on the weight no longer grows; bins of the histogram of p-values for each factor of 2.
+ALPHA, LENGTHS, LONG, PER_OCTAVE = 0.001, (20, 28, 40, 64), 64, 8
 
 
 def _class(c: str) -> str:
     return "d" if c in _D else "l" if c in _L else "u" if c in _U else "m"
 
 
+def _ordered(letters: str) -> list[str]:
+    """Upper case, lower case, digits, marks; letters from the most frequent in text to the rarest."""
+    return sorted(letters, key=lambda c: ("uldm".index(_class(c)), -_LETTERS[ord(c.lower()) - 97] if c.isalpha() else 0, c))
+
+
+def _kinds(letters: str) -> dict[str, int]:
+    """What the runs test tells apart: the classes of characters, or vowels from consonants where there is one class."""
+    classes = {c: "uldm".index(_class(c)) for c in letters}
+    return classes if len(set(classes.values())) > 1 else {c: int(c.lower() in "aeiou") for c in letters}
+
+
+_VALUES = {name: {c: i for i, c in enumerate(_ordered(letters))} for name, letters in ENCODINGS.items()}
+_KINDS = {name: _kinds(letters) for name, letters in ENCODINGS.items()}
+_SHARES = {name: [sum(k == i for k in kinds.values()) / len(kinds) for i in range(4)] for name, kinds in _KINDS.items()}
+
+
 def infer_encoding(token: str) -> str:
     return next(name for name, values in _VALUES.items() if all(c in values for c in token))
 
@@ -79,7 +105,8 @@ def _chi2_tail(x: float, df: int) -> float:
 def battery(token: str, encoding: str | None = None) -> dict[str, float]:
     """p-values under "uniform over the encoding": uniformity, runs, serial, and all three combined."""
     token = token.rstrip("=")
-    values = _VALUES[encoding or infer_encoding(token)]
+    encoding = encoding or infer_encoding(token)
+    values, kinds = _VALUES[encoding], _KINDS[encoding]
     size, n = len(values), len(token)
     v = [values[c] for c in token]
     groups = max(2, min(size, n // 4))
@@ -89,16 +116,12 @@ def battery(token: str, encoding: str | None = None) -> dict[str, float]:
     for x in range(size):
         room[x * groups // size] += 1
     uniform = _chi2_tail(sum((s - n * r / size) ** 2 / (n * r / size) for s, r in zip(seen, room)), groups - 1)
-    high = [2 * x >= size for x in v]
-    n1 = sum(high)
-    n2 = n - n1
-    if n1 and n2 and n > 2:
-        runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
-        mean = 1 + 2 * n1 * n2 / n
-        var = max(1e-9, (mean - 1) * (mean - 2) / (n - 1))
-        p_runs = math.erfc(abs(runs - mean) / math.sqrt(2 * var))
-    else:
-        p_runs = 2.0 ** (1 - n)
+    k = [kinds[c] for c in token]
+    two, three = (sum(p**e for p in _SHARES[encoding]) for e in (2, 3))
+    turn = 1 - two  # the chance that two neighbours are of different kinds
+    var = (n - 1) * turn * two + 2 * max(0, n - 2) * (1 - 2 * two + three - turn * turn)
+    turns = sum(a != b for a, b in zip(k, k[1:]))
+    p_runs = math.erfc(abs(turns - (n - 1) * turn) / math.sqrt(2 * var)) if n > 1 else 1.0
     mean = sum(v) / n
     spread = sum((x - mean) ** 2 for x in v)
     r = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / spread if spread else 1.0
@@ -107,32 +130,65 @@ def battery(token: str, encoding: str | None = None) -> dict[str, float]:
     return {"uniform": uniform, "runs": p_runs, "serial": p_serial, "combined": math.exp(-half) * (1 + half + half * half / 2)}
 
 
-def log_evidence(token: str, encoding: str | None = None) -> float:
-    """Log of the e-value against "ordinary text": uniform over the encoding over a chain of character classes."""
+def statistic(token: str, encoding: str | None = None) -> float:
+    """Square root of Fisher's statistic of the battery: about 2.4 for random tokens, and the larger the less random."""
+    p = battery(token, encoding)
+    return math.sqrt(-2 * sum(math.log(max(p[k], 1e-300)) for k in ("uniform", "runs", "serial")))
+
+
+def ordinary_token(encoding: str, length: int, rng: random.Random) -> str:
+    """A token as ordinary text would have it: a chain of classes of characters, with letters as frequent as in words."""
+    letters = ENCODINGS[encoding]
+    by_class = {k: [c for c in letters if _class(c) == k] for k in "ludm"}
+    turns = {a: [(b, p) for b, p in zip("ludm", row) if by_class[b]] for a, row in _TURN.items()}
+    weights = {k: [_LETTERS[ord(c.lower()) - 97] if k in "lu" else 1 for c in own] for k, own in by_class.items()}
+    now = rng.choice([k for k in "lud" if by_class[k]])
+    out = []
+    for _ in range(length):
+        out.append(rng.choices(by_class[now], weights[now])[0])
+        names, chances = zip(*turns[now])
+        now = rng.choices(names, chances)[0]
+    return "".join(out)
+
+
+@lru_cache(1)
+def ordinary_statistics(draws: int = 150, seed: int = 11) -> dict[str, list[tuple[float, float]]]:
+    """For each encoding, mean and standard deviation of the statistic of ordinary tokens of each of LENGTHS."""
+    rng, out = random.Random(seed), {}
+    for name in ENCODINGS:
+        out[name] = []
+        for length in LENGTHS:
+            drawn = np.array([statistic(ordinary_token(name, length, rng), name) for _ in range(draws)])
+            out[name].append((float(drawn.mean()), float(drawn.std())))
+    return out
+
+
+def p_ordinary(token: str, known: dict[str, list[tuple[float, float]]]) -> float:
+    """The chance that an ordinary token of this encoding and length passes the battery as well as this one, or better."""
     token = token.rstrip("=")
-    size = len(_VALUES[encoding or infer_encoding(token)])
-    ordinary, before = 0.0, None
-    for c in token:
-        kind = _class(c)
-        ordinary += _LOG_LETTER[c] if kind in "lu" else -math.log(10 if kind == "d" else 4)
-        ordinary += _LOG_TURN[before][kind] if before else -math.log(4)
-        before = kind
-    return -len(token) * math.log(size) - ordinary
-
-
-def random_tokens(text: str, runs: list[tuple[int, int]], alpha: float = 0.01, reject: float = 1e-3) -> list[tuple[int, int]]:
-    """The candidates among the runs that the battery and the false-discovery control keep."""
-    family = []
-    for start, end in runs:
-        token = text[start:end]
-        if sum(bool(p.search(token)) for p in (_DIGIT, _UPPER, _LOWER)) < 2:
-            continue
-        encoding = infer_encoding(token.rstrip("="))
-        family.append((log_evidence(token, encoding), start, end, encoding))
-    family.sort(key=lambda x: (-x[0], x[1]))
-    m = len(family)
-    found = max((k for k in range(1, m + 1) if family[k - 1][0] >= math.log(m / (k * alpha))), default=0)
-    return [(s, e) for _, s, e, code in family[:found] if battery(text[s:e], code)["combined"] >= reject]
+    encoding = infer_encoding(token)
+    value = statistic(token, encoding)
+    mean, spread = (float(np.interp(len(token), LENGTHS, [c[i] for c in known[encoding]])) for i in (0, 1))
+    return 0.5 * math.erfc((mean - value) / spread / math.sqrt(2))
+
+
+def length_weight(length: int) -> float:
+    return min(length, LONG) / LONG
+
+
+def limit_of(bins: dict[int, int], mean_weight: float, alpha: float) -> float:
+    """The weighted Benjamini-Hochberg limit on p / length_weight, from counts by bin (see `bin_of`), rounded down to a bin."""
+    m, below, limit = sum(bins.values()), 0, 0.0
+    for k in sorted(bins, reverse=True):  # from the smallest p-values on
+        below += bins[k]
+        top = 2.0 ** (-k / PER_OCTAVE)  # the upper end of the bin
+        if top * mean_weight <= alpha * below / m:
+            limit = top
+    return limit
+
+
+def bin_of(ratio: float) -> int:
+    return max(-8 * PER_OCTAVE, min(200 * PER_OCTAVE, math.floor(-math.log2(max(ratio, 1e-300)) * PER_OCTAVE)))
 
 
 def _free(text: str, runs: list[tuple[int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -154,10 +210,8 @@ def _free(text: str, runs: list[tuple[int, int]], found: list[tuple[int, int, in
     return out
 
 
-def find_secrets(text: str | None) -> list[tuple[int, int, int]]:
-    """Spans (start, end, index of the kind) of one text, in code points, ends exclusive, in order."""
-    if not text:
-        return []
+def _scanned(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Base spans, in no order, and the candidates beside them."""
     found = []
     low = text.lower()
     if any(w in low for w in WORDS):
@@ -166,43 +220,81 @@ def find_secrets(text: str | None) -> list[tuple[int, int, int]]:
     for a, b in runs:
         found += [(*m.span(), 1) for m in ACCESS.finditer(text, a, b)]
         found += [(*m.span(), 2) for m in HEX.finditer(text, a, b)]
-    if runs:
-        found += [(a, b, 3) for a, b in random_tokens(text, _free(text, runs, found))]
+    return found, [(a, b) for a, b in _free(text, runs, found) if not text[a:b].rstrip("=").isdecimal()] if runs else []
+
+
+def candidates(text: str | None) -> list[str]:
+    """The tokens of one text that the battery is to judge."""
+    return [text[a:b] for a, b in _scanned(text)[1]] if text else []
+
+
+def find_secrets(text: str | None, limit: float, known: dict[str, list[tuple[float, float]]]) -> list[tuple[int, int, int]]:
+    """Spans (start, end, index of the kind) of one text, in code points, ends exclusive, in order.
+
+    limit: as `random_limit` finds it for a table; known: `ordinary_statistics()`.
+    """
+    if not text:
+        return []
+    found, free = _scanned(text)
+    found += [(a, b, 3) for a, b in free if p_ordinary(text[a:b], known) <= limit * length_weight(b - a)]
     return sorted(found, key=lambda x: (x[0], x[2], x[1]))
 
 
-@F.arrow_udf(SPAN)
-def _scan(texts: pa.Array) -> pa.Array:
-    rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in find_secrets(t)] for t in texts.to_pylist()]
-    return pa.array(rows, _SPAN_ARROW)
+def random_limit(docs: DataFrame, text: str = "text", alpha: float = ALPHA) -> float:
+    """The limit on p / length_weight up to which the distinct candidates of all rows are reported as random."""
+    known = ordinary_statistics()
 
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("h", T.LongType()), T.StructField("bin", T.IntegerType()), T.StructField("w", T.DoubleType())])))
+    def judged(texts: pa.Array) -> pa.Array:
+        import xxhash
 
-@F.arrow_udf(T.StringType())
-def _redact(texts: pa.Array) -> pa.Array:
-    out = []
-    for text in texts.to_pylist():
-        spans, parts, at = find_secrets(text), [], 0
-        for s, e, k in spans:
-            if e > at:
-                parts += [text[at : max(at, s)]] + [f"[{KINDS[k].upper()}]"] * (s >= at)
-                at = e
-        out.append("".join([*parts, text[at:]]) if spans else text)
-    return pa.array(out, pa.string())
+        rows = [[{"h": xxhash.xxh3_64_intdigest(t.encode()) - (1 << 63), "bin": bin_of(p_ordinary(t, known) / length_weight(len(t))), "w": length_weight(len(t))} for t in set(candidates(x))] for x in texts.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("h", pa.int64()), ("bin", pa.int32()), ("w", pa.float64())])))
+
+    family = docs.select(F.explode(judged(F.col(text))).alias("c")).groupBy("c.h").agg(F.first("c.bin").alias("bin"), F.first("c.w").alias("w"))
+    rows = family.groupBy("bin").agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()  # at most 208 * PER_OCTAVE
+    m = sum(r.n for r in rows)
+    return limit_of({r.bin: r.n for r in rows}, sum(r.w for r in rows) / m, alpha) if m else 0.0
+
+
+def secret_spans(text: Column, limit: float) -> Column:
+    """array<struct<kind, start, end>> of a text column, by start, then kind. limit: of the table, see `random_limit`."""
+    known = ordinary_statistics()
 
+    @F.arrow_udf(SPAN)
+    def scan(texts: pa.Array) -> pa.Array:
+        rows = [[{"kind": KINDS[k], "start": s, "end": e} for s, e, k in find_secrets(t, limit, known)] for t in texts.to_pylist()]
+        return pa.array(rows, _SPAN_ARROW)
 
-def secret_spans(text: Column) -> Column:
-    """array<struct<kind, start, end>> of a text column, by start, then kind."""
-    return _scan(text)
+    return scan(text)
 
 
-def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+def redact(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+    """The text with each span replaced by its kind in brackets; of spans that meet, the first is named."""
+    if not spans:
+        return text
+    parts, at = [], 0
+    for s, e, k in spans:
+        if e > at:
+            parts += [text[at : max(at, s)]] + [f"[{KINDS[k].upper()}]"] * (s >= at)
+            at = e
+    return "".join([*parts, text[at:]])
+
+
+def redact_secrets(docs: DataFrame, text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """Every found span becomes its kind in brackets; all other columns and rows stay. Null stays null."""
-    return docs.withColumn(text, _redact(F.col(text)))
+    known, limit = ordinary_statistics(), random_limit(docs, text, alpha)
+
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([redact(t, find_secrets(t, limit, known)) for t in texts.to_pylist()], pa.string())
+
+    return docs.withColumn(text, run(F.col(text)))
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = ALPHA) -> DataFrame:
     """One row (key, spans) for each input row."""
-    return docs.select(F.col(key), secret_spans(F.col(text)).alias("spans"))
+    return docs.select(F.col(key), secret_spans(F.col(text), random_limit(docs, text, alpha)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:

@@ -9,17 +9,18 @@ P = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline as C  # noqa: E402
 
-from lattisphere.llm.secrets import KINDS, find_secrets  # noqa: E402
+from lattisphere.llm.secrets import KINDS, find_secrets, ordinary_statistics  # noqa: E402
 from lattisphere.llm.toxicity import fit  # noqa: E402
 
 from .test_queries import TEXTS, brute_components, sf  # noqa: E402, F401
+from .test_secrets import weighted_bh  # noqa: E402
 
 
-def redacted(text):
+def redacted(text, limit):
     if not text:
         return text
     out, at = "", 0
-    for start, end, kind in find_secrets(text):
+    for start, end, kind in find_secrets(text, limit, ordinary_statistics()):
         if start >= at:
             out += text[at:start] + f"[{KINDS[kind].upper()}]"
         at = max(at, end)
@@ -44,7 +45,8 @@ def test_stages(spark, sf):  # noqa: F811
     assert {r.doc_id: r.text for r in two.collect()} == kept and sorted(two.columns) == sorted(docs.columns)
     three = steps["secrets"](spark, two, sf)
     texts = {r.doc_id: (r.text, r.n_chars) for r in three.collect()}
-    assert texts == {i: (redacted(t), None if t is None else len(redacted(t))) for i, t in kept.items()}
+    limit = weighted_bh(kept.values())
+    assert texts == {i: (redacted(t, limit), None if t is None else len(redacted(t, limit))) for i, t in kept.items()}
     assert sorted(three.columns) == sorted(docs.columns) and "[HEX]" in texts[4][0] and "[RANDOM]" in texts[5][0]
 
 
@@ -55,8 +57,9 @@ def test_run(spark, sf):  # noqa: F811
     _, kept = expected(spark, sf)
     rows = C.run(spark, sf).toPandas()
     assert set(rows.doc_id) == set(kept)
+    limit = weighted_bh(kept.values())
     for i, text in kept.items():
-        ids = np.array([*reader.encode(redacted(text) or "", add_special_tokens=False).ids, 0], "<u4")
+        ids = np.array([*reader.encode(redacted(text, limit) or "", add_special_tokens=False).ids, 0], "<u4")
         own = rows[rows.doc_id == i].sort_values("piece")
         assert own.length.sum() == len(ids)
         assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in own.itertuples())
