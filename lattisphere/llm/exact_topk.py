@@ -7,8 +7,8 @@ Queries are taken in blocks of about QUERY_BLOCK rows. A block's bound is known
 broadcast, and one pass over the candidates multiplies it with every shard, tile by tile. A task keeps one running list of
 k for each query; the tasks' lists meet in a tree of fan-in FAN. Nothing but these lists is shuffled.
 
-Defined results: rows without an id, null or empty vectors, and vectors with a null or non-finite component take no
-part; nor do lengths other than the most frequent. A query never finds rows of its own id. Ties go to the smaller id. A
+Defined results: rows without an id, null vectors, and vectors with a null or non-finite component take no
+part; an empty vector and shorter ones count as if filled up with zeros to the longest. A query never finds rows of its own id. Ties go to the smaller id. A
 repeated query id is answered once, for the smallest of its vectors; a repeated candidate counts as often as it occurs.
 Fewer than k candidates: all of them. An empty table gives no rows.
 """

@@ -11,24 +11,28 @@ TOP = "array<struct<neg:{kind},id:bigint>>"
 
 
 def valid_vectors(df: DataFrame, key: str, vector: str, nonzero: bool) -> DataFrame:
-    """(id long, v array<double or float>) of the rows that take part.
+    """(id long, v array<double or float>) of the rows that take part, all of one length.
 
-    Left out: null ids, null or empty vectors, vectors with a null, NaN or infinite component, with nonzero also
-    all-zero ones, and vectors of another length than the most frequent (the longer one of equally frequent).
+    Left out: null ids, null vectors, vectors with a null, NaN or infinite component, and with nonzero also those without
+    a component other than zero. Shorter vectors are filled up with zeros to the longest one's length.
     """
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     out = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    out = out.where(F.col("id").isNotNull() & (F.size("v") > 0) & ~bad)
+    out = out.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad)
     if nonzero:
         out = out.where(F.exists("v", lambda x: x != 0))
-    sizes = out.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return out.where(F.size("v") == (sizes[0].d if sizes else -1))
+    low, high = out.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if low == high:
+        return out
+    kind = out.schema["v"].dataType.elementType
+    return out.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast(kind), F.lit(high) - F.size("v"))))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """A list column of equally long lists as a float64 matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(column), len(values) // max(1, len(column)))
 
 
 def merge_tops(parts: DataFrame, query: str, group: Column | None, k: int) -> DataFrame:

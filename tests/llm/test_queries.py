@@ -139,13 +139,20 @@ def top20(ids, x, q, scores):
     return [(i, -s) for s, i in order]
 
 
+def vector_table(spark, sf, zero):
+    """(id, vector) of the rows that take part, filled up with zeros to the longest."""
+    rows_ = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    rows_ = [(i, [*v, *[0.0] * (8 - len(v))]) for i, v in rows_ if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    return [(i, v) for i, v in rows_ if zero or any(v)]
+
+
 def test_exact_top_k(spark, sf):
     found = rows(Q.op7_exact_topk, spark, sf)
-    table = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.vec_id is not None and r.vec_id < 300 or r.vec_id == 1040]
+    table = vector_table(spark, sf, zero=True)
     ids = [i for i, _ in table]
     x = np.floor(64 * np.array([v for _, v in table], float))
     queries = sorted(i for i in ids if i % 20 == 0)
-    assert sorted(found.query_id.unique()) == queries
+    assert {1020, 1040, 1120} < set(queries) and sorted(found.query_id.unique()) == queries
     for q in queries:
         own = found[found.query_id == q].sort_values("rank")
         assert list(zip(own.vec_id, own.score)) == top20(ids, x, q, x @ x[ids.index(q)])
@@ -153,10 +160,12 @@ def test_exact_top_k(spark, sf):
 
 def test_nearest(spark, sf):
     found = rows(Q.op4_kmeans_tree, spark, sf)
-    table = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect() if r.vec_id is not None and r.vec_id < 300]
+    table = vector_table(spark, sf, zero=False)
     ids, x = [i for i, _ in table], np.array([v for _, v in table], float)
     hits = total = 0
-    for q in [i for i in ids if i % 20 == 0]:
+    queries = sorted(i for i in ids if i % 20 == 0)
+    assert 1120 in queries and sorted(found.query_id.unique()) == queries
+    for q in queries:
         own, want = found[found.query_id == q].sort_values("rank"), top20(ids, x, q, x @ x[ids.index(q)])
         assert len(own) == 20 and list(own["rank"]) == list(range(1, 21))
         assert np.allclose(own.score, [x[ids.index(v)] @ x[ids.index(q)] for v in own.vec_id], rtol=1e-12)
