@@ -116,7 +116,8 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     sized = docs.withColumns({"size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long"), "text_crc32": F.crc32(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")).cast("long")})
-    placed = kd_shards(sized.select("doc_id", "size", "text_crc32", "n_chars", "source", "lang"), 24, "size", ["source", "size", "lang", "doc_id"])
+    sized = sized.select("doc_id", "size", "text_crc32", "n_chars", "source", "lang", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("copies"))
+    placed = kd_shards(sized, 24, "size", ["source", "size", "lang", "doc_id"], group="copies")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
