@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,15 @@ __all__ = ["BATCH_ROWS", "Bounded", "materialize", "ranked", "read_table", "rele
 
 #: Rows in a batch that a Python worker gets at once. Texts are long: 10,000 of them, Spark's default, can be 100 MB.
 BATCH_ROWS = 2_000
+#: Bytes in such a batch; Spark's default, 64 MB, is copied several times on the way through a worker.
+BATCH_BYTES = "16m"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of sf_dir; also bounds the batches of texts for Python workers, if the session does not already."""
+    """A table of sf_dir. The queries begin here, so this also sets what batches of texts for Python workers may hold."""
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "0")) <= BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -77,13 +81,28 @@ def sum_arrays(parts: DataFrame, width: int, chunks: int = 32) -> np.ndarray:
 
 
 class Bounded(dict):
-    """A cache of at most about 2 * size entries: the older half goes when the newer one is full."""
+    """A cache of at most about 2 * size entries: the older half goes when the newer one is full.
 
-    def __init__(self, make, size: int):
+    Spark uses a Python worker again for the next operator. Caches of one `use` go when one of another use grows, so a
+    worker holds those of one operator at a time.
+    """
+
+    every: weakref.WeakSet = weakref.WeakSet()
+    growing = ""
+    __hash__ = object.__hash__
+
+    def __init__(self, make, size: int, use: str):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.use, self.old = make, size, use, {}
+        Bounded.every.add(self)
 
     def __missing__(self, key):
+        if Bounded.growing != self.use:
+            Bounded.growing = self.use
+            for cache in Bounded.every:
+                if cache.use != self.use:
+                    cache.clear()
+                    cache.old = {}
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

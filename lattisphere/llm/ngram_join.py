@@ -3,7 +3,7 @@
 Two documents link when 100 * |intersection| >= percent * |union| of their shingle sets. A document is known by a 64-bit
 fingerprint of its set, so equal sets are one from the start. Then:
 
-1. One pass counts shingles in a sketch of fixed width, over all documents. (sketch count, shingle) is the global order.
+1. One pass counts shingles in a sketch, over all documents; its width follows the text (`sketch_bits`), up to 2^22. (sketch count, shingle) is the global order.
 2. A second pass emits each set's prefix: its first n - ceil(t n) + l shingles in that order. l is chosen for each
    document from the estimated cost of its candidates: a longer prefix costs rows, but raises the number of shared
    prefix shingles that a pair needs, alpha(x, y) - max(|x| - prefix(x), |y| - prefix(y)), before it is verified. Only
@@ -14,7 +14,10 @@ fingerprint of its set, so equal sets are one from the start. Then:
    documents of one component need no test: it could not change the components. So no link between components is lost.
 
 Verification intersects the whole sets. Components are found by label propagation with pointer jumping over tables.
-Every stage is cut by a table in the shared folder; nothing of all documents reaches the driver but the sketch.
+Every stage is cut by a table in the shared folder; nothing of all documents reaches the driver but the sketch. Groups are as
+many as their bytes take, whatever the session's number of partitions; owners of a frequent shingle meet block by block,
+and a set that many are held against is sent to several groups. Joins by a frequent shingle, centre or component have one row
+for each key on the other side; adaptive execution splits their partitions.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; with fewer than `size` words the whole
 sequence is one shingle. A row without doc_id has no component (null) and links with nothing. Rows with one doc_id
@@ -29,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
@@ -37,13 +40,17 @@ from pyspark.sql.window import Window
 from .common import Bounded, materialize, shuffle_width, sum_arrays
 
 SIZE, PERCENT = 5, 75
-SKETCH_BITS, TRIES = 18, 2
+TRIES = 2
 #: Part of the shared shingles a pair needs that a document must share with a centre to be tried; not used after that.
 SHARE = 0.3
 #: Extra prefix shingles that a document may choose from; the choice travels in the three low bits of its tokens.
 EXTRA = (1, 2, 4, 8, 16)
-#: Largest number of documents for which a broadcast of ids (8 bytes each) picks the texts to verify; above it, a join.
-BROADCAST_IDS = 1_000_000
+#: Bytes that a group of packed rows is to have about, and its owners of one shingle; groups are made as many as that takes.
+GROUP_BYTES, OWNERS = 16_000_000, 2_000
+#: Proposed pairs that a task holds before it passes them on, and the parts in which it does.
+HELD, PARTS = 1_000_000, 4_096
+#: Pairs of one set that are verified together with one copy of it.
+TOGETHER = 500
 _MIX, _SHIFT, _TOKEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29), np.uint64(0xFFFFFFFFFFFFFFF8)
 
 
@@ -51,7 +58,7 @@ _MIX, _SHIFT, _TOKEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29), np.uint64(0
 def _words() -> Bounded:
     import xxhash
 
-    return Bounded(xxhash.xxh3_64_intdigest, 120_000)
+    return Bounded(xxhash.xxh3_64_intdigest, 120_000, "shingles")
 
 
 def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
@@ -98,18 +105,24 @@ def prefix_length(estimates: np.ndarray, percent: int = PERCENT) -> tuple[int, i
     return best[1], best[2]
 
 
-def _scan(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
+def sketch_bits(shingles_: int, tasks: int) -> int:
+    """Counters of the sketch, as a power of 2: one for 256 shingles, but at most one for 8 that a task scans."""
+    most = max(1, min(shingles_ // 256, shingles_ // max(1, tasks) // 8))
+    return min(22, max(14, most.bit_length() - 1))
+
+
+def _scan(docs: DataFrame, key: str, text: str, size: int, bits: int) -> DataFrame:
     """Rows (doc, set, n), and with each task's share of the sketch rows (chunk, counts)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, schema = np.zeros(1 << SKETCH_BITS, np.int64), None
+        sketch, schema = np.zeros(1 << bits, np.int64), None
         for b in batches:
             sets = [shingles(t, size) for t in b["text"].to_pylist()]
             keys = [set_key(s) if len(s) else None for s in sets]
             new = list({k: s for k, s in zip(keys, sets) if k is not None}.values())
             if new:
-                sketch += np.bincount((np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                sketch += np.bincount((np.concatenate(new) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
             nothing = pa.nulls(b.num_rows)
             out = pa.RecordBatch.from_arrays([b["doc"], pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), nothing.cast(pa.int32()), nothing.cast(pa.binary())], names=["doc", "set", "n", "chunk", "counts"])
             schema = out.schema
@@ -123,7 +136,8 @@ def _scan(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 def _shared_tokens(docs: DataFrame, text: str, sketch: np.ndarray, size: int, percent: int, buckets: int) -> DataFrame:
     """(token, set, extra): prefix shingles that at least two sets have in their prefixes."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # of fixed width
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # at most 2^22 numbers
+    bits = len(sketch).bit_length() - 1
     ordinary = float(np.median(sketch)) * 1.5
     # a bucket holds about this many rows; a shingle that may have as many alone is dealt over all buckets by its owners
     hot = ordinary + max(1000.0, float(sketch.sum()) / (4 * buckets))
@@ -140,7 +154,7 @@ def _shared_tokens(docs: DataFrame, text: str, sketch: np.ndarray, size: int, pe
                 if k in seen:
                     continue
                 seen.add(k)
-                f = counts[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                f = counts[(found >> np.uint64(64 - bits)).astype(np.int64)]
                 order = np.lexsort((found, f))
                 p, extra = prefix_length(np.maximum(0.0, f[order] - ordinary), percent)
                 tokens.append(found[order[:p]] & _TOKEN | np.uint64(extra))
@@ -177,31 +191,49 @@ def _shared_tokens(docs: DataFrame, text: str, sketch: np.ndarray, size: int, pe
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """The pairs (x, y) of sets that link."""
+    """The pairs (x, y) of sets that link.
+
+    Of a pair, the set that has fewer pairs brings its shingles along; those of the other are sent once for every TOGETHER
+    of its pairs. So a set that thousands are held against, as the centre of a family is, lands in as many groups as that takes.
+    """
     needed = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct().join(sets, "set").select(F.col("doc").alias(key)).distinct()
-    some = needed.count()
-    kind = docs.select(key, text)
-    texts = kind.join(F.broadcast(needed) if some <= BROADCAST_IDS else needed, key, "left_semi")
+    texts = docs.select(key, text).join(needed, key, "left_semi")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [s for t in b["text"].to_pylist() if len(s := shingles(t, size))]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["set", "shingles"])
 
-    whole = materialize(texts.select(F.col(text).alias("text")).mapInArrow(rebuild, "set bigint, shingles binary"), "sets")
-    both = pairs.select("x", "y").join(whole.select(F.col("set").alias("x"), F.col("shingles").alias("a")), "x")
-    both = both.join(whole.select(F.col("set").alias("y"), F.col("shingles").alias("b")), "y").select("x", "y", "a", "b")
+    whole = texts.select(F.col(text).alias("text")).mapInArrow(rebuild, "set bigint, shingles binary")
+    whole = materialize(whole.join(pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct(), "set", "left_semi"), "sets")
+    times = pairs.select(F.explode(F.array("x", "y")).alias("set")).groupBy("set").agg(F.count("*").alias("t"))
+    count = lambda name: times.select(F.col("set").alias(name), F.col("t").alias(f"t{name}"))
+    size_of = lambda name: sets.select(F.col("set").alias(name), F.col("n").alias(f"n{name}"))
+    told = pairs.select("x", "y").join(count("x"), "x").join(count("y"), "y").join(size_of("x"), "x").join(size_of("y"), "y")
+    by_x = F.col("tx") > F.col("ty")
+    told = told.select(F.when(by_x, F.col("y")).otherwise(F.col("x")).alias("own"), F.when(by_x, F.col("x")).otherwise(F.col("y")).alias("with"), F.greatest("tx", "ty").alias("t"), F.when(by_x, F.col("ny")).otherwise(F.col("nx")).alias("n"))
+    told = materialize(told.withColumn("part", F.pmod(F.xxhash64("own"), F.ceil(F.col("t") / TOGETHER)).cast("int")), "pairs")
+    groups = _groups(docs.sparkSession, 8 * (told.agg(F.sum("n")).first()[0] or 0))
+    group = F.pmod(F.xxhash64("with", "part"), F.lit(groups)).cast("int").alias("group")
+    left = told.join(whole.select(F.col("set").alias("own"), F.col("shingles").alias("a")), "own").select(group, "own", "with", "a")
+    right = told.select("with", "part").distinct().join(whole.select(F.col("set").alias("with"), F.col("shingles").alias("b")), "with").select(group.alias("to"), F.col("with").alias("against"), "b")
+
+    def intersect(left: pa.Table, right: pa.Table) -> pa.Table:
+        others = dict(zip(right["against"].to_pylist(), right["b"]))
+        good = []
+        for own, other, mine in zip(left["own"].to_pylist(), left["with"].to_pylist(), left["a"]):
+            a, b = np.frombuffer(mine.as_buffer(), np.uint64), np.frombuffer(others[other].as_buffer(), np.uint64)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                good.append((min(own, other), max(own, other)))
+        return pa.table({"x": pa.array([g[0] for g in good], pa.int64()), "y": pa.array([g[1] for g in good], pa.int64())})
+
+    return materialize(left.groupBy("group").cogroup(right.groupBy("to")).applyInArrow(intersect, "x bigint, y bigint").distinct(), "links")
 
-    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for left, right in zip(b["a"].to_pylist(), b["b"].to_pylist()):
-                left, right = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                good.append(100 * both >= percent * (len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([b["x"].filter(pa.array(good)), b["y"].filter(pa.array(good))], names=["x", "y"]) if good else pa.RecordBatch.from_arrays([b["x"], b["y"]], names=["x", "y"])
 
-    return materialize(both.mapInArrow(intersect, "x bigint, y bigint").distinct(), "links")
+def _groups(spark: SparkSession, size: int) -> int:
+    """How many groups rows of this many bytes in all are dealt to."""
+    return int(max(shuffle_width(spark), -(-size // GROUP_BYTES)))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -219,12 +251,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _crossing(tokens: DataFrame, sets: DataFrame, comps: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Pairs (x, y) of different components that share as many prefix shingles as they need."""
+def _crossing(tokens: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of different components that share as many prefix shingles as they need.
+
+    The owners of a shingle are dealt in blocks of OWNERS, and every two blocks meet in a group of their own. A group passes the
+    pairs it finds on whenever it holds HELD of them, with the number of shingles they share there; the numbers are added up.
+    """
+    spark = tokens.sparkSession
     rows = tokens.join(sets.select("set", "n"), "set").join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     rows = materialize(rows, "owned-tokens")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-    rows = rows.join(mixed, "token").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int"))
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.ceil(F.count("*") / OWNERS).cast("int").alias("blocks"), F.count("*").alias("l"))
+    mixed = materialize(mixed.where("a <> b").select("token", "blocks", "l"), "mixed-tokens")
+    groups = _groups(spark, 50 * (mixed.agg(F.sum(F.col("l") * F.col("blocks"))).first()[0] or 0))
+    block = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
+    dealt = rows.join(mixed.drop("l"), "token").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    dealt = dealt.select(F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)).cast("int").alias("group"), "token", "i", "j", "block", "set", "n", "comp", "extra")
     pair = np.dtype([("x", "<i8"), ("y", "<i8"), ("need", "<i4"), ("c", "<i4")])
     extras = np.array(EXTRA)
 
@@ -235,54 +277,63 @@ def _crossing(tokens: DataFrame, sets: DataFrame, comps: DataFrame, percent: int
         out["c"] = np.add.reduceat(found["c"], first)
         return out
 
-    def propose(table: pa.Table) -> pa.Table:
-        cols = {c: table[c].to_numpy() for c in ("token", "set", "n", "comp", "extra")}
-        order = np.lexsort((cols["set"], cols["comp"], cols["token"]))
-        token, owner, n, comp, extra = (cols[c][order] for c in ("token", "set", "n", "comp", "extra"))
+    def passed_on(made: list[np.ndarray]) -> pa.RecordBatch:
+        found = merged(np.concatenate(made))
+        part = (found["x"].view(np.uint64) % np.uint64(PARTS)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        used, start = np.unique(part[order], return_index=True)
+        blobs = [found[order[s:e]].tobytes() for s, e in zip(start, np.append(start, len(order))[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(used), pa.array(blobs, pa.binary())], names=["part", "pairs"])
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))  # about GROUP_BYTES, at least the owners of one block or two
+        cols = {c: table[c].to_numpy() for c in ("token", "i", "j", "block", "set", "n", "comp", "extra")}
+        order = np.lexsort((cols["set"], cols["comp"], cols["j"], cols["i"], cols["token"]))
+        token, i, j, block, owner, n, comp, extra = (c[order] for c in cols.values())
         rest = n - np.minimum(n, n - (-(-percent * n // 100)) + extras[extra])
-        new = np.append(True, token[1:] != token[:-1])
+        new = np.append(True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
         edges = np.append(np.flatnonzero(new), len(token))
         runs = np.append(np.flatnonzero(new | np.append(True, comp[1:] != comp[:-1])), len(token))
         ends = edges[np.searchsorted(edges, np.arange(len(token)), "right")]  # of each row's shingle
         nexts = runs[np.searchsorted(runs, np.arange(len(token)), "right")]  # and of its component there
         made: list[np.ndarray] = []
-        held, most = 0, 2_000_000
-        for i in np.flatnonzero(nexts < ends):
-            j = np.arange(nexts[i], ends[i])
-            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
-            if len(j):
-                out = np.empty(len(j), pair)
-                out["x"], out["y"], out["c"] = np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j]), 1
-                out["need"] = np.maximum(1, alpha(n[i], n[j], percent) - np.maximum(rest[i], rest[j]))
+        held = 0
+        for r in np.flatnonzero(nexts < ends):
+            o = np.arange(nexts[r], ends[r])
+            o = o[(100 * np.minimum(n[o], n[r]) >= percent * np.maximum(n[o], n[r])) & ((i[r] == j[r]) | (block[o] != block[r]))]
+            if len(o):
+                out = np.empty(len(o), pair)
+                out["x"], out["y"], out["c"] = np.minimum(owner[r], owner[o]), np.maximum(owner[r], owner[o]), 1
+                out["need"] = np.maximum(1, alpha(n[r], n[o], percent) - np.maximum(rest[r], rest[o]))
                 made.append(out)
-                held += len(j)
-            if held > most:  # what memory holds is bounded by the pairs, not by their shared shingles
+                held += len(o)
+            if held > 2 * HELD:
                 made = [merged(np.concatenate(made))]
                 held = len(made[0])
-                most = max(most, 2 * held)
-        if not made:
-            return pa.table({"half": pa.array([], pa.int32()), "pairs": pa.array([], pa.binary())})
-        found = merged(np.concatenate(made))
-        half = (found["x"] % buckets).astype(np.int32)
-        order = np.argsort(half, kind="stable")
-        used, start = np.unique(half[order], return_index=True)
-        blobs = [found[order[s:e]].tobytes() for s, e in zip(start, np.append(start, len(order))[1:])]
-        return pa.table({"half": pa.array(used), "pairs": pa.array(blobs, pa.binary())})
+                if held > HELD:
+                    yield passed_on(made)
+                    made, held = [], 0
+        if made:
+            yield passed_on(made)
 
     def enough(table: pa.Table) -> pa.Table:
         found = merged(np.concatenate([np.frombuffer(x, pair) for x in table["pairs"].to_pylist()]))
         found = found[found["c"] >= found["need"]]
         return pa.table({"x": pa.array(np.ascontiguousarray(found["x"])), "y": pa.array(np.ascontiguousarray(found["y"]))})
 
-    proposed = rows.groupBy("bucket").applyInArrow(propose, "half int, pairs binary")
-    return proposed.groupBy("half").applyInArrow(enough, "x bigint, y bigint")
+    proposed = materialize(dealt.groupBy("group").applyInArrow(propose, "part int, pairs binary"), "proposed")
+    wide = min(PARTS, _groups(spark, proposed.agg(F.sum(F.octet_length("pairs"))).first()[0] or 0))
+    return proposed.withColumn("part", F.col("part") % wide).groupBy("part").applyInArrow(enough, "x bigint, y bigint")
 
 
 def _components(docs: DataFrame, percent: int, size: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows (doc, set, n) of all texts, and (set, comp, component_id) of all sets: the component and its smallest key."""
-    buckets = shuffle_width(docs.sparkSession)
-    scan = materialize(_scan(docs, key, text, size), "scan")
-    sketch = sum_arrays(scan.where("chunk IS NOT NULL").select("chunk", "counts"), 1 << SKETCH_BITS)
+    spark = docs.sparkSession
+    length = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    bits = sketch_bits(length // 6, docs.rdd.getNumPartitions())
+    scan = materialize(_scan(docs, key, text, size, bits), "scan")
+    sketch = sum_arrays(scan.where("chunk IS NOT NULL").select("chunk", "counts"), 1 << bits)
+    buckets = _groups(spark, 16 * int(sketch.sum()) // 3)  # a third of the shingles are in prefixes, or little more
     rows = scan.where("chunk IS NULL").select("doc", "set", "n")
     sets = materialize(rows.where("set IS NOT NULL AND doc IS NOT NULL").groupBy("set").agg(F.min("doc").alias("doc"), F.max("n").alias("n")), "documents")
     tokens = materialize(_shared_tokens(docs.where(F.col(key).isNotNull()), text, sketch, size, percent, buckets), "tokens")
@@ -300,15 +351,18 @@ def _components(docs: DataFrame, percent: int, size: int, key: str, text: str) -
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "y"))).where(F.col("r") <= TRIES)
     links = _verify(materialize(best.select("x", "y"), "stars"), sets, docs, key, text, size, percent)
     first = components(links)
-    crossing = materialize(_crossing(tokens, sets, first, percent, buckets), "crossing")
+    crossing = materialize(_crossing(tokens, sets, first, percent), "crossing")
     between = _verify(crossing, sets, docs, key, text, size, percent)
     for name in ("x", "y"):  # what is left to join are components, not documents
         comp = first.select(F.col("set").alias(name), F.col("comp").alias("c"))
         between = between.join(comp, name, "left").withColumn(name, F.coalesce("c", name)).drop("c")
     second = components(between.where("x <> y").distinct()).select(F.col("set").alias("comp"), F.col("comp").alias("further"))
-    named = sets.join(first, "set", "left").withColumn("comp", F.coalesce("comp", "set")).join(second, "comp", "left").withColumn("comp", F.coalesce("further", "comp"))
-    smallest = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    return rows, named.select("set", "comp").join(smallest, "comp")
+    # the smallest key of a component first of its parts, so that no component meets in one task
+    named = sets.join(first, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    parts = materialize(named.groupBy("comp").agg(F.min("doc").alias("doc")).join(second, "comp", "left").withColumn("further", F.coalesce("further", "comp")), "parts")
+    smallest = parts.groupBy("further").agg(F.min("doc").alias("component_id"))
+    finals = parts.select("comp", "further").join(smallest, "further")
+    return rows, named.select("set", "comp").join(finals, "comp").select("set", F.col("further").alias("comp"), "component_id")
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE, key: str = "doc_id", text: str = "text") -> DataFrame:

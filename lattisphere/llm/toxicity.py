@@ -35,7 +35,7 @@ _MASK = (1 << 30) - 1
 
 @lru_cache(1)
 def _hashes() -> Bounded:
-    return Bounded(lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")), 100_000)
+    return Bounded(lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")), 100_000, "toxicity")
 
 
 def features(text: str | None) -> np.ndarray:
