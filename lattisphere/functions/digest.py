@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from hashlib import blake2b
+from collections.abc import Callable
+from hashlib import blake2b, md5
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -14,6 +15,15 @@ def blake(text: str, size: int = 64) -> str:
     return blake2b(text.encode(), digest_size=size).hexdigest()
 
 
+def md5_text(text: str, size: int = 16) -> str:
+    """As `blake`, for engines that lack BLAKE2b; the size is always 16 bytes."""
+    return md5(text.encode()).hexdigest()
+
+
+#: name -> digest of a text and a size.
+TEXT_HASHES: dict[str, Callable[..., str]] = {"blake2b": blake, "md5": md5_text}
+
+
 def blake2b_hex(text: Column, size: int = 64) -> Column:
     """Lowercase hex of BLAKE2b with a digest of `size` bytes; null stays null."""
 

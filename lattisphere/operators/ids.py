@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.digest import HASHES, gcd_of, joined_sorted
+from ..functions.digest import HASHES, TEXT_HASHES, gcd_of, joined_sorted
 from ..options import IdOptions
 from ..plans.session import spread
 from . import graph, kernel, labels, neighbors, sequences
@@ -68,9 +68,9 @@ def structure_ids(components: DataFrame, key: str = "structure_id", digest: str
     return rows.select(key, HASHES[digest][0](F.col("text"), size).alias("graph_id"))
 
 
-def component_ids(components: DataFrame) -> DataFrame:
+def component_ids(components: DataFrame, digest: str = "blake2b") -> DataFrame:
     """(structure_id, sites, component_id): 16-byte digests of the component digests."""
-    return components.select("structure_id", "sites", HASHES["blake2b"][0](F.col("digest"), 16).alias("component_id"))
+    return components.select("structure_id", "sites", HASHES[digest][0](F.col("digest"), 16).alias("component_id"))
 
 
 def prefixed(ids: DataFrame, sites: DataFrame, edges: DataFrame, options: IdOptions = IdOptions()) -> DataFrame:
@@ -91,15 +91,15 @@ _IDS = T.StructType([T.StructField("graph_id", T.StringType()), T.StructField("c
 def _kernel_ids(options: IdOptions, catch: bool) -> Column:
     @F.arrow_udf(_IDS)
     def run(species: pa.Array, edges: pa.Array, named: pa.Array) -> pa.Array:
-        out = []
+        out, of = [], TEXT_HASHES[options.digest]
         for own, rows, start in zip(species.to_pylist(), graph.edge_rows(edges), named.to_pylist()):
             try:
                 base = start or (["H"] * len(own) if options.topology_only else own)
                 if options.loop:
                     base = kernel.ring_labels(len(own), rows, own, options.diameter_factor, options.additional_depth)
-                comp, cs = kernel.sequences(len(own), rows, base, options.diameter_factor, options.additional_depth)
-                digests = kernel.component_digests(comp, cs, options.reduce)
-                out.append({"graph_id": kernel.structure_digest(digests, options.digest_size), "comp": comp, "cs": cs, "digests": digests, "dim": kernel.dimension(len(own), rows), "error": None})
+                comp, cs = kernel.sequences(len(own), rows, base, options.diameter_factor, options.additional_depth, of=of)
+                digests = kernel.component_digests(comp, cs, options.reduce, of)
+                out.append({"graph_id": kernel.structure_digest(digests, options.digest_size, of), "comp": comp, "cs": cs, "digests": digests, "dim": kernel.dimension(len(own), rows), "error": None})
             except Exception as e:
                 if not catch:
                     raise
@@ -161,7 +161,7 @@ def site_ids(sites: DataFrame, edges: DataFrame, options: IdOptions = IdOptions(
 def merged_ids(groups: DataFrame, sites: DataFrame, edges: DataFrame, options: IdOptions = IdOptions()) -> DataFrame:
     """(merge_key, graph_id) for rows (structure_id, merge_key): the id of all materials of a key taken together."""
     digests = kernel_rows(sites, edges, options).select("structure_id", F.explode("digests").alias("digest"))
-    return structure_ids(digests.join(groups, "structure_id"), "merge_key", "blake2b", options.digest_size)
+    return structure_ids(digests.join(groups, "structure_id"), "merge_key", options.digest, options.digest_size)
 
 
 def clustering_ids(structures: DataFrame, sites: DataFrame, options: IdOptions = IdOptions(), base_tol: float = 0.1, base_cutoff: float = 10.0) -> DataFrame:
@@ -180,7 +180,7 @@ def clustering_ids(structures: DataFrame, sites: DataFrame, options: IdOptions =
                 each[c["u"]].append((c["k"], c["v"], c["ia"], c["ib"], c["ic"]))
             start = ["H"] * len(names) if options.topology_only else names
             relabel = (lambda e, n=names: kernel.ring_labels(len(n), e, n, options.diameter_factor, options.additional_depth)) if options.loop else None
-            out.append(kernel.clustering_digest(len(names), rows, each, start, options.rank_k, options.diameter_factor, options.additional_depth, options.digest_size, relabel))
+            out.append(kernel.clustering_digest(len(names), rows, each, start, options.rank_k, options.diameter_factor, options.additional_depth, options.digest_size, relabel, TEXT_HASHES[options.digest]))
         return pa.array(out, pa.string())
 
     return spread(rows).select("structure_id", run("species", "edges", "clusters").alias("graph_id"))

@@ -163,11 +163,11 @@ def bonds(name: str, structures: DataFrame, sites: DataFrame, **options) -> Data
     return strategy(checked, sites, **options)
 
 
-def _by_kernel(structures: DataFrame, sites: DataFrame, make: Callable[[list, list, list, list], list[tuple]]) -> DataFrame:
-    """Bonds of a whole-structure kernel: (lattice, coords, species, oxi) -> rows (u, v, ia, ib, ic, weight)."""
+def _by_kernel(structures: DataFrame, sites: DataFrame, make: Callable[[list, list, list, list], list[tuple]], fields: list | None = None) -> DataFrame:
+    """Rows of a whole-structure kernel, (lattice, coords, species, oxi) -> rows of these fields; bonds by default."""
     own = sites.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("site_i", "species", "x", "y", "z", "oxi"))).alias("s"))
-    fields = [("u", pa.int32()), ("v", pa.int32()), ("ia", pa.int32()), ("ib", pa.int32()), ("ic", pa.int32()), ("weight", pa.float64())]
-    kinds = [T.StructField(n, T.DoubleType() if n == "weight" else T.IntegerType()) for n, _ in fields]
+    fields = fields or [("u", pa.int32()), ("v", pa.int32()), ("ia", pa.int32()), ("ib", pa.int32()), ("ic", pa.int32()), ("weight", pa.float64())]
+    kinds = [T.StructField(n, T.DoubleType() if a == pa.float64() else T.IntegerType()) for n, a in fields]
 
     @F.arrow_udf(T.ArrayType(T.StructType(kinds)))
     def run(lattices: pa.Array, atoms: pa.Array) -> pa.Array:
@@ -181,6 +181,16 @@ def _by_kernel(structures: DataFrame, sites: DataFrame, make: Callable[[list, li
     return spread(rows).select("structure_id", F.explode(run("lattice", "s")).alias("e")).select("structure_id", "e.*")
 
 
+def voronoi_facets(structures: DataFrame, sites: DataFrame, cutoff: float = 13.0) -> DataFrame:
+    """(structure_id, u, v, dist, solid_angle, area, volume): every facet of every Voronoi cell; volume is that of its pyramid."""
+    names = ("dist", "solid_angle", "area", "volume")
+
+    def make(cell, xyz, species, oxi):
+        return [(u, f["v"], *[f[n] for n in names]) for u in range(len(xyz)) for f in V.facets(cell, xyz, u, cutoff)]
+
+    return _by_kernel(structures, sites, make, [("u", pa.int32()), ("v", pa.int32()), *[(n, pa.float64()) for n in names]])
+
+
 def voronoi(structures: DataFrame, sites: DataFrame, tol: float = 0.0, targets: list[str] | None = None, cutoff: float = 13.0, weight: str = "solid_angle") -> DataFrame:
     """Facets of the Voronoi cell above tol times the largest; weight relative to it, by any measure of a facet."""
     return _by_kernel(structures, sites, lambda cell, xyz, species, oxi: V.voronoi_bonds(cell, xyz, species, tol, targets, cutoff, weight))

@@ -36,8 +36,8 @@ def with_first(ids: DataFrame, order: str = "structure_id", key: str = "graph_id
 
 
 def hash_split(rows: DataFrame, key: Column, parts: int) -> DataFrame:
-    """Rows with `part`, equal for equal keys: no id on both sides. The hash is crc32, so other engines can repeat it."""
-    return rows.withColumn("part", F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(parts)).cast("int"))
+    """Rows with `part`, equal for equal keys: no id on both sides. The hash is the first 28 bits of md5, so other engines can repeat it."""
+    return rows.withColumn("part", F.pmod(F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 7), 16, 10).cast("long"), F.lit(parts)).cast("int"))
 
 
 def random_split(rows: DataFrame, share: float, seed: int) -> tuple[DataFrame, DataFrame]:

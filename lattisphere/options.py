@@ -26,12 +26,15 @@ class IdOptions:
     rank_k: int = 3
     cutoff: float = 6.0
     depth: int | None = None
+    digest: str = "blake2b"
 
     def __post_init__(self):
         if self.wyckoff and self.loop:
             raise ValueError("wyckoff and loop labels exclude each other")
         if self.loop and self.topology_only:
             raise ValueError("loop labels need species, topology_only drops them")
+        if self.digest not in ("blake2b", "md5"):
+            raise ValueError("digest is blake2b or md5")
         if not 1 <= self.digest_size <= 64:
             raise ValueError("digest_size is between 1 and 64 bytes")
         if self.depth is not None:

@@ -101,6 +101,16 @@ bounds AS (SELECT structure_id, u, run, max(dist) AS bound FROM runs GROUP BY AL
 clusters AS (SELECT structure_id, u, (row_number() OVER (PARTITION BY structure_id, u ORDER BY run) - 1)::INTEGER AS k, bound FROM bounds)"""
 
 
+REDUCED = """m AS (SELECT cs.structure_id, c.comp, cs.cs, count(*) AS n FROM cs JOIN comps c ON cs.structure_id = c.structure_id AND cs.site_i = c.site_i GROUP BY ALL),
+g AS (SELECT structure_id, comp, list_reduce(list(n), lambda x, y: gcd(x, y)) AS g FROM m GROUP BY ALL), q AS (SELECT structure_id, min(g) AS q FROM g GROUP BY ALL),
+rep AS (SELECT m.structure_id, m.comp, m.cs, unnest(range(n // q.q)) AS i FROM m JOIN q USING (structure_id)),
+d AS (SELECT structure_id, comp, md5(string_agg(cs, '-' ORDER BY cs)) AS digest FROM rep GROUP BY ALL)"""
+
+COINCIDENT = """
+  SELECT DISTINCT t.structure_id, t.site_i FROM sites s JOIN sites t ON s.structure_id = t.structure_id AND s.site_i < t.site_i
+  WHERE sqrt(pow((t.x - s.x) - 10 * round((t.x - s.x) / 10), 2) + pow((t.y - s.y) - 10 * round((t.y - s.y) / 10), 2) + pow((t.z - s.z) - 10 * round((t.z - s.z) / 10), 2)) <= 0.01"""
+
+
 def brunner(gap: str) -> str:
     return f"""WITH {SITES}, {pairs(8.0)}, g AS (
   SELECT *, {gap} AS gap, min(dist) OVER (PARTITION BY structure_id, u) AS d0 FROM (
@@ -124,7 +134,7 @@ def queries() -> dict[str, str]:
         "periodic_pairs_r84": f"WITH {SITES}, {pairs(8.4)} SELECT structure_id, u, count(*) AS n, round(min(dist), 6) AS nearest, sum(ia + 3 * ib + 9 * ic)::BIGINT AS image_sum FROM pairs GROUP BY ALL",
         "periodic_pairs_binned": f"WITH {SITES}, {pairs(3.0)} SELECT {EDGE}, round(dist, 6) AS dist FROM pairs",
         "nn_min_distance": f"WITH {SITES}, {pairs(8.4)}, {BONDS} SELECT {EDGE}, round(weight, 6) AS weight FROM bonds",
-        "nn_all_sites": f"WITH {SITES}, {pairs(3.0)} SELECT {EDGE}, round(dist, 6) AS weight FROM pairs",
+        "nn_all_sites": f"WITH {SITES}, {pairs(10.0)} SELECT {EDGE}, round(dist, 6) AS weight FROM pairs",
         "nn_okeeffe": f"""WITH {SITES}, {pairs(8.4)}, rel AS (
   SELECT *, dist / (2.0 + 0.1 * length(su || sv) + CASE WHEN su = sv THEN 0.5 ELSE 0 END) AS rel FROM pairs)
 SELECT {EDGE}, round(m / rel, 6) AS weight FROM (SELECT *, min(rel) OVER (PARTITION BY structure_id, u) AS m FROM rel) WHERE rel < (1 + 0.1) * m""",
@@ -132,7 +142,7 @@ SELECT {EDGE}, round(m / rel, 6) AS weight FROM (SELECT *, min(rel) OVER (PARTIT
         "nn_brunner_reciprocal": brunner("1 / dist - 1 / nxt"),
         "nn_brunner_relative": brunner("nxt / dist"),
         "nn_brunner_real": brunner("nxt - dist"),
-        "nn_econ": f"""WITH RECURSIVE {SITES}, {pairs(4.0)}, fs AS (SELECT structure_id, u, list(dist ORDER BY dist) AS fs FROM pairs GROUP BY ALL),
+        "nn_econ": f"""WITH RECURSIVE {SITES}, {pairs(10.0)}, fs AS (SELECT structure_id, u, list(dist ORDER BY dist) AS fs FROM pairs GROUP BY ALL),
 it AS (
   SELECT structure_id, u, fs, list_min(fs) AS m, false AS done, 0 AS k FROM fs
   UNION ALL
@@ -142,7 +152,7 @@ mean AS (SELECT structure_id, u, arg_max(m, k) AS m FROM it GROUP BY ALL)
 SELECT {EDGE}, round(w, 6) AS weight FROM (SELECT p.*, exp(1 - pow(dist / m, 6)) AS w FROM pairs p JOIN mean USING (structure_id, u)) WHERE w > 0.2""",
         "distance_clusters": f"WITH {SITES}, {pairs(6.0)}, {CLUSTERS} SELECT structure_id, u, k, round(bound, 6) AS bound FROM clusters",
         "nn_distance_cluster": f"""WITH {SITES}, {pairs(6.0)}, {CLUSTERS}, lim AS (SELECT *, round(bound, 3) AS high, lag(round(bound, 3)) OVER (PARTITION BY structure_id, u ORDER BY k) AS low FROM clusters)
-SELECT p.structure_id, p.u, l.k, p.v, p.ia, p.ib, p.ic, round(p.dist, 3) AS weight FROM pairs p JOIN lim l USING (structure_id, u) WHERE l.k < 2 AND round(p.dist, 3) <= high AND (low IS NULL OR round(p.dist, 3) > low)""",
+SELECT p.structure_id, p.u, l.k, p.v, p.ia, p.ib, p.ic, round(p.dist, 3) AS weight FROM pairs p JOIN lim l USING (structure_id, u) WHERE round(p.dist, 3) <= high AND (low IS NULL OR round(p.dist, 3) > low)""",
         "graph_edges_symmetric": f"WITH {GRAPH} SELECT {EDGE} FROM sym",
         "graph_one_direction": f"WITH {GRAPH} SELECT {EDGE} FROM sym WHERE u <= v",
         "graph_break_site": f"WITH {GRAPH} SELECT {EDGE} FROM sym WHERE u <> 0 AND v <> 0",
@@ -165,6 +175,23 @@ SELECT {EDGE} FROM sym WHERE u <> 0 AND v <> 0 UNION SELECT * FROM own""",
         "cs_plain_depth3": f"WITH {GRAPH}, {environments(3)} SELECT structure_id, site_i, plain AS cs FROM cs",
         "cs_topology_depth2": f"WITH {GRAPH}, {environments(2, chr(39) + 'H' + chr(39))} SELECT structure_id, site_i, plain AS cs FROM cs",
         "site_ids_md5": f"WITH {GRAPH}, {environments(3)} SELECT structure_id, site_i, label || '_' || cs AS site_id FROM cs",
+        "site_ids_kernel_md5": f"WITH {GRAPH}, {environments(3)} SELECT structure_id, site_i, label || '_' || cs AS site_id FROM cs",
+        "component_ids_kernel_md5": f"{ids3}, own AS (SELECT structure_id, comp, string_agg(site_i::VARCHAR, ',' ORDER BY site_i) AS sites FROM comps GROUP BY ALL) SELECT structure_id, sites, md5(digest) AS component_id FROM comp_ids JOIN own USING (structure_id, comp)",
+        "graph_ids_kernel_md5": f"{ids3}, {DIMENSION}, {FORMULA} SELECT structure_id, formula || '-' || dim::VARCHAR || 'D-' || graph_id AS graph_id FROM ids JOIN dim USING (structure_id) JOIN formula USING (structure_id)",
+        "maker_ids_depth2_md5": f"{with_ids(2)}, {FORMULA} SELECT structure_id, formula || '-' || graph_id AS graph_id FROM ids JOIN formula USING (structure_id)",
+        "maker_ids_reduced_md5": f"{with_ids(2)}, {FORMULA}, {REDUCED}, r AS (SELECT structure_id, md5(string_agg(digest, ':' ORDER BY digest)) AS graph_id FROM d GROUP BY ALL) SELECT structure_id, formula || '-' || graph_id AS graph_id FROM r JOIN formula USING (structure_id)",
+        "merged_ids_kernel_md5": f"{ids1} SELECT structure_id % 100 AS merge_key, md5(string_agg(digest, ':' ORDER BY digest)) AS graph_id FROM comp_ids GROUP BY ALL",
+        "clustering_ids_md5": f"""WITH {SITES}, {pairs(6.0)}, {CLUSTERS}, lim AS (SELECT *, round(bound, 3) AS high, lag(round(bound, 3)) OVER (PARTITION BY structure_id, u ORDER BY k) AS low FROM clusters),
+c AS (SELECT p.structure_id, p.u, l.k, p.v, p.ia, p.ib, p.ic FROM pairs p JOIN lim l USING (structure_id, u) WHERE l.k < 3 AND round(p.dist, 3) <= high AND (low IS NULL OR round(p.dist, 3) > low)),
+own AS (SELECT * FROM c UNION SELECT structure_id, u, k, v, -ia, -ib, -ic FROM c WHERE u = v),
+met AS (SELECT o.structure_id, o.u, o.k, s.species, count(*) AS n FROM own o JOIN sites s ON o.structure_id = s.structure_id AND o.v = s.site_i GROUP BY ALL),
+level AS (SELECT structure_id, u, k, string_agg(species || n::VARCHAR, '' ORDER BY species) AS l FROM met GROUP BY ALL),
+parts AS (SELECT s.structure_id, r.k, md5(s.species || '-' || coalesce(l.l, '')) AS p FROM sites s CROSS JOIN (SELECT unnest(range(3)) AS k) r LEFT JOIN level l ON l.structure_id = s.structure_id AND l.u = s.site_i AND l.k = r.k),
+ranks AS (SELECT structure_id, k, md5(string_agg(p, ':' ORDER BY p)) AS d FROM parts GROUP BY ALL)
+SELECT structure_id, md5(string_agg(d, '' ORDER BY k)) AS graph_id FROM ranks GROUP BY ALL""",
+        "group_split": f"{ids1} SELECT structure_id, graph_id, (('0x' || substr(md5(graph_id), 1, 7))::BIGINT % 5)::INTEGER AS part FROM ids",
+        "voronoi_volumes": f"""WITH {SITES}, d AS ({COINCIDENT})
+SELECT structure_id, 1000.0::DOUBLE AS volume, round(4 * pi(), 6) AS angle, count(*) AS n_sites FROM sites WHERE (structure_id, site_i) NOT IN (SELECT structure_id, site_i FROM d) GROUP BY structure_id""",
         "component_ids_md5": f"{ids3} SELECT structure_id, comp, digest FROM comp_ids",
         "graph_ids_md5_depth3": f"{ids3} SELECT structure_id, graph_id FROM ids",
         "graph_ids_topology": f"{with_ids(2, chr(39) + 'H' + chr(39))} SELECT structure_id, graph_id FROM ids",
@@ -172,10 +199,7 @@ SELECT {EDGE} FROM sym WHERE u <> 0 AND v <> 0 UNION SELECT * FROM own""",
         "formulas": f"WITH {SITES}, {FORMULA} SELECT structure_id, formula FROM formula",
         "ids_prefixed": f"{ids1}, {DIMENSION}, {FORMULA} SELECT structure_id, formula || '-' || dim::VARCHAR || 'D-' || graph_id AS graph_id FROM ids JOIN dim USING (structure_id) JOIN formula USING (structure_id)",
         "merged_ids_by_customer": f"{ids1} SELECT o_custkey AS merge_key, md5(string_agg(digest, ':' ORDER BY digest)) AS graph_id FROM comp_ids JOIN orders ON structure_id = o_orderkey GROUP BY ALL",
-        "reduced_ids": f"""{ids1}, m AS (SELECT cs.structure_id, c.comp, cs.cs, count(*) AS n FROM cs JOIN comps c ON cs.structure_id = c.structure_id AND cs.site_i = c.site_i GROUP BY ALL),
-g AS (SELECT structure_id, comp, list_reduce(list(n), lambda x, y: gcd(x, y)) AS g FROM m GROUP BY ALL), q AS (SELECT structure_id, min(g) AS q FROM g GROUP BY ALL),
-rep AS (SELECT m.structure_id, m.comp, m.cs, unnest(range(n // q.q)) AS i FROM m JOIN q USING (structure_id)),
-d AS (SELECT structure_id, comp, md5(string_agg(cs, '-' ORDER BY cs)) AS digest FROM rep GROUP BY ALL)
+        "reduced_ids": f"""{ids1}, {REDUCED}
 SELECT structure_id, md5(string_agg(digest, ':' ORDER BY digest)) AS graph_id FROM d GROUP BY ALL""",
         "unique_structures": f"{ids1} SELECT min(structure_id) AS structure_id, graph_id FROM ids GROUP BY ALL",
         "same_structure_pairs": f"{ids1}, f AS (SELECT graph_id, min(structure_id) AS a FROM ids GROUP BY ALL) SELECT a, structure_id AS b FROM ids JOIN f USING (graph_id) WHERE a <> structure_id",
@@ -187,7 +211,7 @@ SELECT structure_id, md5(string_agg(digest, ':' ORDER BY digest)) AS graph_id FR
         "isostructural_groups": f"{ids1} SELECT graph_id, count(*) AS n, min(structure_id) AS first, string_agg(structure_id::VARCHAR, ',' ORDER BY structure_id) AS members FROM ids GROUP BY ALL HAVING count(*) > 1",
         "dedup_with_first": f"{ids1} SELECT structure_id, graph_id, min(structure_id) OVER (PARTITION BY graph_id) AS first, structure_id = min(structure_id) OVER (PARTITION BY graph_id) AS is_first FROM ids",
         "site_histogram": f"WITH {GRAPH}, {environments(1)} SELECT structure_id, label || '_' || cs AS site_id, count(*) AS n FROM cs GROUP BY ALL",
-        "id_lookup": f"{ids1}, q AS (SELECT DISTINCT graph_id FROM ids WHERE structure_id % 100 = 0) SELECT structure_id, graph_id FROM ids JOIN q USING (graph_id)",
+        "id_lookup": f"{ids1}, q AS (SELECT DISTINCT graph_id FROM ids) SELECT structure_id, graph_id FROM ids JOIN q USING (graph_id)",
         "formula_lookup": f"WITH {SITES}, {FORMULA} SELECT structure_id, formula FROM formula WHERE formula = 'AFNO'",
         "insert_if_absent": f"{ids1} SELECT min(structure_id) AS structure_id, graph_id FROM ids WHERE {test} AND graph_id NOT IN (SELECT graph_id FROM ids WHERE {train}) GROUP BY graph_id",
         "mae_by_split": """WITH k AS (SELECT l_quantity * 1000 AS predicted, l_extendedprice AS actual, CASE WHEN l_orderkey % 2 = 0 THEN 'train' ELSE 'test' END AS kind FROM lineitem)
@@ -200,9 +224,7 @@ SELECT structure_id, site_i, CASE
         "composition": f"WITH {SITES} SELECT structure_id, species, round(count(*) / sum(count(*)) OVER (PARTITION BY structure_id), 6) AS share FROM sites GROUP BY structure_id, species",
         "boxed_molecules": f"""WITH {SITES}, e AS (SELECT structure_id, min(x) AS ax, min(y) AS ay, min(z) AS az, max(x) - min(x) + 20 AS lx FROM sites GROUP BY ALL)
 SELECT structure_id, site_i, round(x - ax + 10, 6) AS x, round(y - ay + 10, 6) AS y, round(z - az + 10, 6) AS z, round(lx, 6) AS edge FROM sites JOIN e USING (structure_id)""",
-        "coincident_removed": f"""WITH {SITES}, d AS (
-  SELECT DISTINCT t.structure_id, t.site_i FROM sites s JOIN sites t ON s.structure_id = t.structure_id AND s.site_i < t.site_i
-  WHERE sqrt(pow((t.x - s.x) - 10 * round((t.x - s.x) / 10), 2) + pow((t.y - s.y) - 10 * round((t.y - s.y) / 10), 2) + pow((t.z - s.z) - 10 * round((t.z - s.z) / 10), 2)) <= 0.01)
+        "coincident_removed": f"""WITH {SITES}, d AS ({COINCIDENT})
 SELECT structure_id, site_i, species FROM sites WHERE (structure_id, site_i) NOT IN (SELECT structure_id, site_i FROM d)""",
         "ring_walks_depth4": f"""WITH RECURSIVE {GRAPH}, walk AS (
   SELECT DISTINCT structure_id, u AS start, [(u, 0, 0, 0)] AS path, 0 AS k, false AS done FROM sym

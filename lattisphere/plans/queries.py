@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import sinks
 from ..operators import geometry, graph, ids, labels, neighbors, radii, relational, sequences
@@ -93,7 +94,7 @@ def cluster_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_ids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    all_ = ids_md5(spark, sf_dir, 1)
+    all_ = stored(ids_md5(spark, sf_dir, 1), "ids")  # both halves read it
     return all_.where("structure_id % 2 = 1"), all_.where("structure_id % 2 = 0")
 
 
@@ -102,7 +103,7 @@ def are_same(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.are_same(even, odd.withColumn("structure_id", F.col("structure_id") - 1))
 
 
-def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merged_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("structure_id"), F.col("o_custkey").alias("merge_key"))
     return ids.structure_ids(digests_md5(spark, sf_dir, 1).join(keys, "structure_id"), "merge_key", "md5")
 
@@ -142,9 +143,31 @@ def diameter(sites: DataFrame, edges: DataFrame) -> DataFrame:
     return graph.components(sites, edges).groupBy("structure_id", "comp").agg(F.max("diameter").alias("diameter"))
 
 
+def kernel_components(sites: DataFrame, edges: DataFrame, options: IdOptions = IdOptions()) -> DataFrame:
+    own = ids.kernel_rows(sites, edges, options).select("structure_id", F.posexplode("cs").alias("site_i", "cs"))
+    found = ids.component_digests(own, graph.components(sites, edges), options.digest)
+    return ids.component_ids(found, options.digest).select("structure_id", F.array_join("sites", ",").alias("sites"), "component_id")
+
+
+def hundred(sites: DataFrame) -> DataFrame:
+    """A hundred merge keys over all structures."""
+    return sites.select("structure_id", (F.col("structure_id") % 100).alias("merge_key")).distinct()
+
+
+def cell_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the Voronoi cells of a structure add up to, and the solid angles of its facets: both are known beforehand."""
+    structures, sites = crystals(spark, sf_dir)
+    apart = geometry.without_coincident(structures, sites, 0.01)
+    again = apart.withColumn("site_i", (F.row_number().over(Window.partitionBy("structure_id").orderBy("site_i")) - 1).cast("int"))
+    facets = neighbors.voronoi_facets(structures, again, 6.0)
+    total = facets.groupBy("structure_id").agg(F.sum("volume").alias("volume"), (F.sum("solid_angle") / F.count_distinct("u")).alias("angle"), F.count_distinct("u").alias("n_sites"))
+    return total.select("structure_id", F.round("volume", 3).alias("volume"), F.round("angle", 6).alias("angle"), "n_sites")
+
+
 def queries() -> dict[str, Query]:
     """name -> (spark, sf_dir) -> DataFrame."""
-    from ..operators.ids import clustering_ids, graph_ids, kernel_rows, maker_ids, site_ids
+    from ..operators.ids import clustering_ids, graph_ids, maker_ids, site_ids
+    from ..operators.ids import merged_ids as merged
 
     depth3 = lambda sites, edges: sequences.level_strings(sites, edges, labels.elements(sites), 3)
     plain = lambda rows: sequences.environments(rows, None).select("structure_id", "site_i", "cs")
@@ -161,20 +184,18 @@ def queries() -> dict[str, Query]:
         "periodic_pairs_r84": pairs_summary,
         "periodic_pairs_binned": pairs(3.0, geometry.binned_pairs),
         "nn_min_distance": strategy("minimum_distance", cutoff=REACH),
-        "nn_all_sites": strategy("minimum_distance", cutoff=3.0, get_all_sites=True),
-        "nn_all_sites_r10": strategy("minimum_distance", get_all_sites=True),
+        "nn_all_sites": strategy("minimum_distance", get_all_sites=True),
         "nn_okeeffe": okeeffe,
         "nn_cutoff_dict": strategy("cutoff_dict", cutoffs=cutoffs),
         "nn_brunner_reciprocal": strategy("brunner_reciprocal"),
         "nn_brunner_relative": strategy("brunner_relative"),
         "nn_brunner_real": strategy("brunner_real"),
-        "nn_econ": strategy("econ", cutoff=4.0),
-        "nn_econ_r10": strategy("econ"),
+        "nn_econ": strategy("econ"),
         "nn_voronoi": strategy("voronoi", cutoff=6.0),
+        "voronoi_volumes": cell_volumes,
         "nn_crystal": strategy("crystal"),
         "distance_clusters": lambda s, d: rounded(neighbors.distance_clusters(*crystals(s, d)), "bound"),
-        "nn_distance_cluster": lambda s, d: neighbors.cluster_bonds(*crystals(s, d)).where("k < 2"),
-        "nn_distance_cluster_all": lambda s, d: neighbors.cluster_bonds(*crystals(s, d)),
+        "nn_distance_cluster": lambda s, d: neighbors.cluster_bonds(*crystals(s, d)),
         "graph_edges_symmetric": on_graph(lambda sites, edges: edges),
         "graph_one_direction": on_graph(lambda sites, edges: graph.one_direction(edges)),
         "graph_break_site": on_graph(lambda sites, edges: graph.without_site(edges, 0)),
@@ -198,8 +219,15 @@ def queries() -> dict[str, Query]:
         "cs_topology_depth2": on_graph(lambda sites, edges: plain(sequences.level_strings(sites, edges, labels.topology(sites), 2))),
         "site_ids_md5": on_graph(lambda sites, edges: named(depth3(sites, edges))),
         "site_ids_blake2b": on_graph(site_ids),
+        "site_ids_kernel_md5": on_graph(lambda sites, edges: site_ids(sites, edges, IdOptions(depth=3, digest="md5"))),
+        "component_ids_kernel_md5": on_graph(lambda sites, edges: kernel_components(sites, edges, IdOptions(depth=3, digest="md5"))),
+        "graph_ids_kernel_md5": lambda s, d: graph_ids(*crystals(s, d), IdOptions(depth=3, digest="md5"), cutoff=REACH),
+        "maker_ids_depth2_md5": lambda s, d: maker_ids(*crystals(s, d), IdOptions(depth=2, digest="md5"), cutoff=REACH),
+        "maker_ids_reduced_md5": lambda s, d: maker_ids(*crystals(s, d), IdOptions(depth=2, reduce=True, digest="md5"), cutoff=REACH),
+        "merged_ids_kernel_md5": on_graph(lambda sites, edges: merged(hundred(sites), sites, edges, IdOptions(depth=1, digest="md5"))),
+        "clustering_ids_md5": lambda s, d: clustering_ids(*crystals(s, d), IdOptions(depth=1, digest="md5"), base_cutoff=REACH),
         "component_ids_md5": lambda s, d: digests_md5(s, d, 3).drop("sites"),
-        "component_ids_blake2b": on_graph(lambda sites, edges: ids.component_ids(ids.component_digests(kernel_rows(sites, edges).select("structure_id", F.posexplode("cs").alias("site_i", "cs")), graph.components(sites, edges))).select("structure_id", F.array_join("sites", ",").alias("sites"), "component_id")),
+        "component_ids_blake2b": on_graph(kernel_components),
         "graph_ids_md5_depth3": lambda s, d: ids_md5(s, d, 3),
         "graph_ids_topology": lambda s, d: ids_md5(s, d, 2, labels.topology),
         "graph_ids_md5_wyckoff": lambda s, d: ids_md5(s, d, 2, with_letters),
@@ -207,11 +235,11 @@ def queries() -> dict[str, Query]:
         "graph_ids_rings": lambda s, d: graph_ids(*crystals(s, d), IdOptions(loop=True, diameter_factor=1), cutoff=REACH),
         "maker_ids_depth2": lambda s, d: maker_ids(*crystals(s, d), IdOptions(depth=2), cutoff=REACH),
         "maker_ids_reduced": lambda s, d: maker_ids(*crystals(s, d), IdOptions(depth=2, reduce=True), cutoff=REACH),
-        "merged_ids_blake2b": on_graph(lambda sites, edges: ids.merged_ids(sites.select("structure_id", (F.col("structure_id") % 100).alias("merge_key")).distinct(), sites, edges)),
+        "merged_ids_blake2b": on_graph(lambda sites, edges: ids.merged_ids(hundred(sites), sites, edges)),
         "clustering_ids": lambda s, d: clustering_ids(*crystals(s, d), IdOptions(), base_cutoff=REACH),
         "formulas": on_sites(ids.formulas),
         "ids_prefixed": prefixed,
-        "merged_ids_by_customer": merged,
+        "merged_ids_by_customer": merged_by_customer,
         "reduced_ids": lambda s, d: ids_md5(s, d, 1, reduce=True),
         "unique_structures": on_ids(lambda t: ids.unique_structures(t, "structure_id")),
         "same_structure_pairs": on_ids(ids.same_structures),
@@ -224,8 +252,7 @@ def queries() -> dict[str, Query]:
         "dedup_with_first": on_ids(relational.with_first),
         "group_split": on_ids(lambda t: relational.hash_split(t, F.col("graph_id"), 5)),
         "site_histogram": on_graph(lambda sites, edges: relational.histogram(named(sequences.level_strings(sites, edges, labels.elements(sites), 1)))),
-        "id_lookup": on_ids(lambda t: relational.look_up(t.where("structure_id % 100 = 0"), t)),
-        "id_lookup_all": on_ids(lambda t: relational.look_up(t, t)),
+        "id_lookup": on_ids(lambda t: relational.look_up(t, t)),
         "formula_lookup": on_sites(lambda t: ids.formulas(t).where("formula = 'AFNO'")),
         "insert_if_absent": on_split(sinks.absent),
         "mae_by_split": mae,

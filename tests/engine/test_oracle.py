@@ -7,7 +7,6 @@ import pytest
 from lattisphere.plans import oracle, queries
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"nn_voronoi", "nn_crystal"}
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
 
 
@@ -31,35 +30,11 @@ def test_matches_sql(spark, duck, name):
     assert len(mine) == len(other) and (order(mine) == order(other)).all(axis=None)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(oracle.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(oracle.queries()))))
 def test_runs(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0
 
 
-#: Queries without SQL of their own that do the whole of one with SQL: that SQL's name, its limit, and the limit of the whole.
-WHOLE = {
-    "id_lookup_all": ("id_lookup", " WHERE structure_id % 100 = 0", ""),
-    "nn_all_sites_r10": ("nn_all_sites", "dist < 3.0", "dist < 10.0"),
-    "nn_distance_cluster_all": ("nn_distance_cluster", "l.k < 2 AND ", ""),
-    "nn_econ_r10": ("nn_econ", "dist < 4.0", "dist < 10.0"),
-}
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_matches_widened_sql(spark, duck, name):
-    base, limit, whole = WHOLE[name]
-    sql = oracle.queries()[base]
-    assert sql.count(limit) == 1
-    mine = queries.queries()[name](spark, SF).toPandas()
-    other = duck.execute(sql.replace(limit, whole)).df()
-    columns = sorted(mine.columns)
-    assert columns == sorted(other.columns)
-    order = lambda df: df[columns].sort_values([c for c in columns if c != "weight"]).reset_index(drop=True)
-    mine, other = order(mine), order(other)
-    assert len(mine) == len(other) > len(duck.execute(sql).df())
-    assert all(((mine[c] - other[c]).abs() < 2e-6).all() if c == "weight" else (mine[c] == other[c]).all() for c in columns)
-
-
 def test_clustering_takes_all_ranks(spark):
     from lattisphere.operators.ids import clustering_ids
     from lattisphere.options import IdOptions
