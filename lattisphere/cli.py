@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from . import sinks
 from .operators import geometry, ids
 from .options import IdOptions
-from .sources import cif, xyz
+from .sources import cif, poscar, xyz
 
 
 def identify(spark: SparkSession, paths: list[str], options: IdOptions = IdOptions()) -> DataFrame:
-    """(path, graph_id) of CIF and XYZ files; a file that can't be read has the id ""."""
+    """(path, graph_id) of CIF, POSCAR and XYZ files; a file that can't be read has the id ""."""
     files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    structures, sites = cif.tables(files.where(~F.lower("path").endswith(".xyz")), "path", "value")
-    boxes, atoms = geometry.boxed(xyz.molecules(files.where(F.lower("path").endswith(".xyz")), "path", "value"))
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    is_xyz, is_poscar = name.endswith(".xyz"), name.rlike("poscar|contcar|[.]vasp$")
+    structures, sites = cif.tables(files.where(~is_xyz & ~is_poscar), "path", "value")
+    more, of_more = poscar.tables(files.where(is_poscar), "path", "value")
+    structures, sites = structures.unionByName(more), sites.unionByName(of_more)
+    boxes, atoms = geometry.boxed(xyz.molecules(files.where(is_xyz), "path", "value"))
     structures = structures.select("structure_id", "lattice", "pbc", "n_sites").unionByName(boxes)
     sites = geometry.without_coincident(structures, sites.unionByName(atoms))
     found = ids.graph_ids(structures, sites, options, catch=True).withColumnRenamed("structure_id", "path")

@@ -23,9 +23,29 @@ def symmetric(bonds: DataFrame) -> DataFrame:
     return both.where("u <> v OR ia <> 0 OR ib <> 0 OR ic <> 0").dropDuplicates(list(EDGE))
 
 
-def without_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
-    """edges without those of `gone`, in either direction."""
-    return edges.join(symmetric(gone), list(EDGE), "left_anti")
+def _failing(rows: DataFrame, there: DataFrame, by: list[str], text: str, like: DataFrame) -> DataFrame:
+    """No rows, in the columns of `like`; an error as soon as `rows` has one that is not `there`."""
+    marked = rows.join(there.select(*by).distinct().withColumn("__there", F.lit(True)), by, "left")
+    error = F.raise_error(F.concat(F.lit(text), F.col("structure_id").cast("string"))).cast("boolean")
+    return marked.where(F.when(F.col("__there").isNull(), error).otherwise(F.lit(False))).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in like.schema])
+
+
+def without_edges(edges: DataFrame, gone: DataFrame, strict: bool = False) -> DataFrame:
+    """edges without those of `gone`, in either direction; with strict, a bond to break that is not there is an error."""
+    both = symmetric(gone)
+    left = edges.join(both, list(EDGE), "left_anti")
+    return left.unionByName(_failing(both, edges, list(EDGE), "no such bond in structure ", left)) if strict else left
+
+
+def empty(structures: DataFrame, sites: DataFrame) -> DataFrame:
+    """The edge table of graphs without bonds: no rows. A structure without sites is an error."""
+    none = sites.select("structure_id", *[F.lit(0).alias(c) for c in EDGE if c != "structure_id"]).where("false")
+    return none.unionByName(_failing(structures.select("structure_id"), sites, ["structure_id"], "no sites in structure ", none))
+
+
+def connectivity(edges: DataFrame) -> DataFrame:
+    """(structure_id, u, v) of all bonds, sorted: what two graphs are compared by."""
+    return edges.select("structure_id", "u", "v").orderBy("structure_id", "u", "v")
 
 
 def without_site(edges: DataFrame, site: int) -> DataFrame:

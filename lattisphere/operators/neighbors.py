@@ -152,15 +152,35 @@ def register(name: str, strategy: Callable[..., DataFrame], structures: bool = T
     STRATEGIES[name] = strategy, structures, molecules
 
 
+def checked(structures: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tables as the strategies need them: columns and kinds are checked now, shapes when they are read."""
+    need = {"structures": (structures, {"structure_id", "lattice", "pbc"}), "sites": (sites, {"structure_id", "site_i", "species", "x", "y", "z"})}
+    for table, (df, columns) in need.items():
+        if lacking := columns - set(df.columns):
+            raise ValueError(f"{table} lacks {', '.join(sorted(lacking))}")
+    kinds = dict(sites.dtypes)
+    if wrong := [c for c in "xyz" if kinds[c] not in ("double", "float")]:
+        raise TypeError(f"coordinates {', '.join(wrong)} are no numbers")
+    named = F.col("structure_id").cast("string")
+    square = (F.size("lattice") == 3) & F.forall("lattice", lambda row: F.size(row) == 3) & (F.size("pbc") == 3)
+    error = F.raise_error(F.concat(F.lit("a lattice is 3 x 3 numbers and pbc 3 flags: structure "), named))
+    bad = F.raise_error(F.concat(F.lit("a site without coordinates: structure "), named))
+    # values that can't be read without the check, so that no plan drops it
+    lattice = F.when(square, F.col("lattice")).otherwise(error.cast(structures.schema["lattice"].dataType))
+    place = {c: F.when(F.col(c).isNotNull() & ~F.isnan(c), F.col(c)).otherwise(bad.cast("double")) for c in "xyz"}
+    return structures.withColumn("lattice", lattice), sites.withColumns(place)
+
+
 def bonds(name: str, structures: DataFrame, sites: DataFrame, **options) -> DataFrame:
     """Bonds by a registered strategy; structures of a kind that it does not allow raise an error when read."""
     if name not in STRATEGIES:
         raise ValueError(f"no strategy {name}; there are {', '.join(sorted(STRATEGIES))}")
     strategy, crystals, molecules = STRATEGIES[name]
+    structures, sites = checked(structures, sites)
     periodic = F.exists("pbc", lambda p: p)
     bad = F.lit(False) if crystals and molecules else ~periodic if crystals else periodic
-    checked = structures.withColumn("pbc", F.when(bad, F.raise_error(F.lit(f"{name} does not allow this kind of structure")).cast("array<boolean>")).otherwise(F.col("pbc"))) if not (crystals and molecules) else structures
-    return strategy(checked, sites, **options)
+    allowed = structures.withColumn("pbc", F.when(bad, F.raise_error(F.lit(f"{name} does not allow this kind of structure")).cast("array<boolean>")).otherwise(F.col("pbc"))) if not (crystals and molecules) else structures
+    return strategy(allowed, sites, **options)
 
 
 def _by_kernel(structures: DataFrame, sites: DataFrame, make: Callable[[list, list, list, list], list[tuple]], fields: list | None = None) -> DataFrame:
@@ -196,9 +216,16 @@ def voronoi(structures: DataFrame, sites: DataFrame, tol: float = 0.0, targets:
     return _by_kernel(structures, sites, lambda cell, xyz, species, oxi: V.voronoi_bonds(cell, xyz, species, tol, targets, cutoff, weight))
 
 
-def crystal(structures: DataFrame, sites: DataFrame, **options) -> DataFrame:
-    """The most likely coordination by weighted Voronoi facets; options as in voronoi.crystal_bonds."""
+def crystal(structures: DataFrame, sites: DataFrame, ionic: dict[str, dict[int, float]] | None = None, **options) -> DataFrame:
+    """The most likely coordination by weighted Voronoi facets; options as in voronoi.crystal_bonds.
+
+    ionic: radii by element and oxidation state, for the cut-off by distance; without it covalent radii hold.
+    """
     from .ids import ELECTRONEGATIVITY
+    from .radii import radius_of
+
+    if ionic is not None:
+        options["radius_of"] = lambda s, o: radius_of(s, o, ionic)
 
     return _by_kernel(structures, sites, lambda cell, xyz, species, oxi: V.crystal_bonds(cell, xyz, species, oxi, ELECTRONEGATIVITY, **options))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,29 @@ def ionic_radii(sites: DataFrame, ionic: DataFrame) -> DataFrame:
     return own.select("structure_id", "site_i", F.coalesce(radius, F.lit(0.0)).alias("radius"))
 
 
+def radius_of(species: str, oxi: float | None, ionic: dict[str, dict[int, float]]) -> float:
+    """As `ionic_radii`, for one site: 0 where nothing is known of the element."""
+    states, default = ionic.get(species, {}), COVALENT.get(species, 0.0)
+    if oxi is None:
+        return default
+    low, high = math.floor(oxi), math.ceil(oxi)
+    if low in states and high in states:
+        return states[low] + (states[high] - states[low]) * (oxi - low)
+    alike = [r for s, r in states.items() if s * oxi > 0]
+    return sum(alike) / len(alike) if alike else default
+
+
+#: Named tables of cut-offs: name -> scale of the sum of covalent radii.
+PRESETS = {"covalent": 1.2, "covalent_tight": 1.1, "covalent_wide": 1.3}
+
+
+def preset_cutoffs(name: str, species: list[str]) -> dict[tuple[str, str], float]:
+    """A cut-off table by its name."""
+    if name not in PRESETS:
+        raise ValueError(f"no table {name}; there are {', '.join(sorted(PRESETS))}")
+    return covalent_cutoffs(species, PRESETS[name])
+
+
 def covalent_cutoffs(species: list[str], scale: float = 1.2) -> dict[tuple[str, str], float]:
     """A cut-off table for neighbors.cutoff_dict: scaled sums of covalent radii for all pairs of the given elements."""
     known = sorted({s for s in species if s in COVALENT})

@@ -7,6 +7,8 @@ farther than twice the farthest vertex can't cut any more. What is left of each
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -145,19 +147,27 @@ def _half_circle(x: float) -> float:
     return (x * math.sqrt(1 - x * x) + math.asin(x)) * 2 / math.pi
 
 
-def coordination(facets_of: list[dict], u: int, species: list[str], oxi: list[float | None], x_of: dict[str, float], distance_cutoffs=(0.5, 1.0), x_diff_weight: float = 3.0, porous: bool = True, cation_anion: bool = False) -> tuple[dict[int, float], list[dict]]:
+def coordination(facets_of: list[dict], u: int, species: list[str], oxi: list[float | None], x_of: dict[str, float], distance_cutoffs=(0.5, 1.0), x_diff_weight: float = 3.0, porous: bool = True, cation_anion: bool = False, radii: list[float] | None = None, fingerprint_length: int = 0) -> tuple[dict[int, float], list[dict]]:
     """Likelihood of each coordination number of a site, and its neighbours from the heaviest.
 
     Weights are relative solid angles, raised for porous cells and for differences in electronegativity, and cut by the
     distance beyond the sum of radii. Distinct weights, from the largest, cut the half circle into the likelihoods.
+
+    cation_anion: only facets towards kinds of site (species and state) whose known state is not of the site's own sign.
+    radii: of each site, by its state; where one of two is not known (0), covalent radii count for both, with a warning.
+    fingerprint_length: likelihoods of 0 for the numbers below it that have none.
     """
     found = [dict(f, weight=f["solid_angle"]) for f in facets_of]
-    if cation_anion and oxi[u]:
-        found = [f for f in found if (oxi[f["v"]] or 0) * oxi[u] <= 0]
-        if not found:
+    padded = lambda chance: {cn: 0.0 for cn in range(fingerprint_length)} | chance
+    if cation_anion:
+        if oxi[u] is None:
+            raise ValueError("cation_anion needs the site's oxidation state")
+        targets = {(s, o) for s, o in zip(species, oxi) if o is not None and o * oxi[u] <= 0}
+        if not targets:
             raise ValueError("no neighbour of opposite charge")
+        found = [f for f in found if (species[f["v"]], oxi[f["v"]]) in targets]
     if not found:
-        return {0: 1.0}, []
+        return padded({0: 1.0}), []
     most = max(f["weight"] for f in found)
     for f in found:
         f["weight"] /= most
@@ -169,15 +179,19 @@ def coordination(facets_of: list[dict], u: int, species: list[str], oxi: list[fl
     most = max(f["weight"] for f in found)
     for f in found:
         f["weight"] /= most
-        if distance_cutoffs:
-            low = COVALENT.get(species[u], 1.5) + COVALENT.get(species[f["v"]], 1.5) + distance_cutoffs[0]
-            high = low - distance_cutoffs[0] + distance_cutoffs[1]
+        if distance_cutoffs and all(distance_cutoffs):
+            own, other = (radii[u], radii[f["v"]]) if radii else (0.0, 0.0)
+            if own <= 0 or other <= 0:
+                if radii:
+                    warnings.warn(f"no radius for the states of {species[u]} and {species[f['v']]}; covalent radii are used", stacklevel=2)
+                own, other = (COVALENT.get(species[i], 1.5) for i in (u, f["v"]))
+            low, high = (own + other + c for c in distance_cutoffs)
             part = 1.0 if f["dist"] <= low else 0.0 if f["dist"] >= high else (math.cos((f["dist"] - low) / (high - low) * math.pi) + 1) / 2
             f["weight"] *= part
         f["weight"] = round(f["weight"], 3)
     found = sorted((f for f in found if f["weight"] > 0), key=lambda f: (-f["weight"], f["dist"], f["v"], f["image"]))
     if not found:
-        return {0: 1.0}, []
+        return padded({0: 1.0}), []
     steps = sorted({f["weight"] for f in found}, reverse=True)
     chance = {}
     for w, after in zip(steps, [*steps[1:], 0.0]):
@@ -186,13 +200,15 @@ def coordination(facets_of: list[dict], u: int, species: list[str], oxi: list[fl
     rest = 1 - sum(chance.values())
     if rest > 1e-9:
         chance[0] = rest
-    return chance, found
+    return padded(chance), found
 
 
-def crystal_bonds(lattice: list, coords: list, species: list[str], oxi: list[float | None], x_of: dict[str, float], weighted_cn: bool = False, search_cutoff: float = 7.0, **options) -> list[tuple]:
+def crystal_bonds(lattice: list, coords: list, species: list[str], oxi: list[float | None], x_of: dict[str, float], weighted_cn: bool = False, search_cutoff: float = 7.0, radius_of: Callable[[str, float | None], float] | None = None, **options) -> list[tuple]:
     """(u, v, ia, ib, ic, weight) of the most likely coordination number (ties: the largest), each of weight 1; or with
     weighted_cn every neighbour with the likelihood that it is one."""
     out = []
+    if radius_of:
+        options["radii"] = [radius_of(s, o) for s, o in zip(species, oxi)]
     for u in range(len(coords)):
         chance, found = coordination(facets(lattice, coords, u, search_cutoff), u, species, oxi, x_of, **options)
         if weighted_cn:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_own: dict[str, str] = {}
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -19,11 +21,19 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: `spark.checkpoint.dir`, or a temporary one where none is named (tests)."""
+    """The folder that all executors share, `spark.checkpoint.dir`.
+
+    Where none is named, a temporary one serves a session whose driver is its only executor; on a cluster that is an error,
+    as executors would write to disks of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lattisphere-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="lattisphere-")
+        found = _own[app]
     return found.rstrip("/")
 
 
