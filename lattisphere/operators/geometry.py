@@ -5,6 +5,10 @@ Everything is keyed by structure_id, so one shuffle by it serves the join and al
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +57,10 @@ def periodic_pairs(structures: DataFrame, sites: DataFrame, r: float, min_r: flo
     return pairs.select("structure_id", "u", "v", "ia", "ib", "ic", dist.alias("dist")).where((F.col("dist") >= SELF) & near)
 
 
-def binned_pairs(structures: DataFrame, sites: DataFrame, r: float) -> DataFrame:
+def binned_pairs(structures: DataFrame, sites: DataFrame, r: float, min_r: float = 1.0) -> DataFrame:
     """The same pairs by a cell list: images fall into cubes of edge max(0.1, r), and only the 27 cubes about a site are
-    joined. For large structures, where the pairs within a structure are far more than those that are near."""
+    joined. For large structures, where the pairs within a structure are far more than those that are near. Joined by
+    structure and cube, so one structure is dealt over many tasks."""
     edge = max(0.1, r)
     own = fractional(structures, sites)
     ends = own.groupBy("structure_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("fa", "fb", "fc", "x", "y", "z") for f in (F.min, F.max)])
@@ -75,7 +80,25 @@ def binned_pairs(structures: DataFrame, sites: DataFrame, r: float) -> DataFrame
         a = a.withColumn(f"d{c}", F.explode(near)).withColumn(f"b{c}", F.floor(F.col(f"{c}u") / edge) + F.col(f"d{c}")).drop(f"d{c}")
     d = [F.col(f"{c}v") - F.col(f"{c}u") for c in "xyz"]
     joined = a.join(b, ["structure_id", "bx", "by", "bz"]).withColumn("dist", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
-    return joined.where((F.col("dist") >= SELF) & (F.col("dist") < r)).select("structure_id", "u", "v", "ia", "ib", "ic", "dist")
+    near = F.col("dist") <= r if r < min_r else F.col("dist") < r
+    return joined.where((F.col("dist") >= SELF) & near).select("structure_id", "u", "v", "ia", "ib", "ic", "dist")
+
+
+_search: ContextVar = ContextVar("search", default=periodic_pairs)
+
+
+def near_pairs(structures: DataFrame, sites: DataFrame, r: float) -> DataFrame:
+    """Pairs by the search that holds while a plan is made: `periodic_pairs`, or `binned_pairs` inside `by_bins`."""
+    return _search.get()(structures, sites, r)
+
+
+@contextmanager
+def by_bins() -> Iterator[None]:
+    token = _search.set(binned_pairs)
+    try:
+        yield
+    finally:
+        _search.reset(token)
 
 
 def boxed(atoms: DataFrame, vacuum: float = 10.0) -> tuple[DataFrame, DataFrame]:
@@ -104,9 +127,3 @@ def periodic_zero(structures: DataFrame, sites: DataFrame, tol: float) -> DataFr
     gap = [F.when(F.col("pbc")[i], g - F.round(g)).otherwise(g) for i, g in enumerate(gap)]
     d = [sum((gap[k] * _cell(k, c) for k in (1, 2)), gap[0] * _cell(0, c)) for c in range(3)]
     return a.join(b, "structure_id").where("u <> v").withColumn("dist", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])).where(F.col("dist") <= tol).select("structure_id", "u", "v", "dist")
-
-
-def fictive_radius(pairs: DataFrame, f: str, mean: str) -> Column:
-    """Mean fictive ionic radius: sum f e / sum e with e = exp(1 - (f / mean)^6), as an aggregate expression."""
-    e = F.exp(1 - F.pow(F.col(f) / F.col(mean), 6))
-    return F.sum(F.col(f) * e) / F.sum(e)

@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions.digest import HASHES, TEXT_HASHES, gcd_of, joined_sorted
 from ..options import IdOptions
-from ..plans.session import spread
-from . import graph, kernel, labels, neighbors, sequences
+from ..plans.session import spread, stored
+from . import geometry, graph, kernel, labels, neighbors, sequences
 
 # Pauling electronegativities of the elements (public tables); X is unknown and sorts last.
 ELECTRONEGATIVITY = {
@@ -166,8 +166,11 @@ def merged_ids(groups: DataFrame, sites: DataFrame, edges: DataFrame, options: I
 
 def clustering_ids(structures: DataFrame, sites: DataFrame, options: IdOptions = IdOptions(), base_tol: float = 0.1, base_cutoff: float = 10.0) -> DataFrame:
     """(structure_id, graph_id) by distance clusters: bare digests without prefixes."""
-    base = graph.symmetric(neighbors.minimum_distance(structures, sites, base_tol, base_cutoff))
-    bonds = neighbors.cluster_bonds(structures, sites, options.cutoff).where(F.col("k") < options.rank_k)
+    wide = max(base_cutoff, options.cutoff)
+    pairs = stored(geometry.near_pairs(structures, sites, wide), "pairs")  # one search for both kinds of bonds
+    within = lambda r: pairs if r == wide else pairs.where(F.col("dist") <= r if r < 1.0 else F.col("dist") < r)
+    base = graph.symmetric(neighbors.minimum_distance(structures, sites, base_tol, base_cutoff, pairs=within(base_cutoff)))
+    bonds = neighbors.cluster_bonds(structures, sites, options.cutoff, within(options.cutoff)).where(F.col("k") < options.rank_k)
     own = bonds.groupBy("structure_id").agg(F.array_sort(F.collect_list(F.struct("u", "k", "v", "ia", "ib", "ic"))).alias("clusters"))
     rows = graph.assembled(sites, base).join(own, "structure_id", "left")
 

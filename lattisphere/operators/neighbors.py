@@ -13,7 +13,7 @@ from pyspark.sql.window import Window, WindowSpec
 from ..plans.session import spread
 from ..schemas import EDGE
 from . import voronoi as V
-from .geometry import periodic_pairs
+from .geometry import by_bins, near_pairs
 
 
 def _site() -> WindowSpec:
@@ -28,9 +28,9 @@ def _bonds(pairs: DataFrame, weight: Column) -> DataFrame:
     return pairs.select(*EDGE, weight.alias("weight"))
 
 
-def minimum_distance(structures: DataFrame, sites: DataFrame, tol: float = 0.1, cutoff: float = 10.0, get_all_sites: bool = False) -> DataFrame:
+def minimum_distance(structures: DataFrame, sites: DataFrame, tol: float = 0.1, cutoff: float = 10.0, get_all_sites: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """Bonds shorter than (1 + tol) times the site's shortest, weight shortest / dist; or all in reach, weight dist."""
-    pairs = periodic_pairs(structures, sites, cutoff)
+    pairs = near_pairs(structures, sites, cutoff) if pairs is None else pairs
     if get_all_sites:
         return _bonds(pairs, F.col("dist"))
     near = pairs.withColumn("m", F.min("dist").over(_site())).where(F.col("dist") < (1 + tol) * F.col("m"))
@@ -44,7 +44,7 @@ def _species(pairs: DataFrame, sites: DataFrame) -> DataFrame:
 
 def minimum_okeeffe(structures: DataFrame, sites: DataFrame, predicted: DataFrame, tol: float = 0.1, cutoff: float = 10.0) -> DataFrame:
     """Like minimum distance, on dist / predicted(su, sv). predicted: (su, sv, d0) for both orders, one row for each pair of species."""
-    pairs = _species(periodic_pairs(structures, sites, cutoff), sites).join(predicted, ["su", "sv"])
+    pairs = _species(near_pairs(structures, sites, cutoff), sites).join(predicted, ["su", "sv"])
     rel = pairs.withColumn("rel", F.col("dist") / F.col("d0")).withColumn("m", F.min("rel").over(_site()))
     return _bonds(rel.where(F.col("rel") < (1 + tol) * F.col("m")), F.col("m") / F.col("rel"))
 
@@ -53,15 +53,15 @@ def cutoff_dict(structures: DataFrame, sites: DataFrame, cutoffs: dict[tuple[str
     """Bonds of the listed pairs of species, in either order, below their length; weight dist."""
     both = {**{(b, a): r for (a, b), r in cutoffs.items()}, **cutoffs}
     if not both:
-        return _bonds(periodic_pairs(structures, sites, 1e-9), F.col("dist"))
+        return _bonds(near_pairs(structures, sites, 1e-9), F.col("dist"))
     table = F.create_map(*[F.lit(x) for (a, b), r in sorted(both.items()) for x in (f"{a}\0{b}", r)])
-    pairs = _species(periodic_pairs(structures, sites, max(both.values())), sites)
+    pairs = _species(near_pairs(structures, sites, max(both.values())), sites)
     return _bonds(pairs.where(F.col("dist") < F.try_element_at(table, F.concat_ws("\0", "su", "sv"))), F.col("dist"))
 
 
 def _brunner(gap: Callable[[Column, Column], Column]):
     def strategy(structures: DataFrame, sites: DataFrame, tol: float = 1e-4, cutoff: float = 8.0) -> DataFrame:
-        pairs = periodic_pairs(structures, sites, cutoff)
+        pairs = near_pairs(structures, sites, cutoff)
         after = F.lead("dist").over(_near())
         gaps = pairs.withColumn("gap", gap(F.col("dist"), after)).withColumn("first", F.min("dist").over(_site()))
         widest = _site().orderBy(F.desc_nulls_last("gap"), "dist", "v", "ia", "ib", "ic")
@@ -83,7 +83,7 @@ def econ(structures: DataFrame, sites: DataFrame, tol: float = 0.2, cutoff: floa
     radii. m starts at the smallest f and is averaged anew until it changes by at most 1e-4; that is a fold over the
     site's own distances, so it needs no further shuffle.
     """
-    pairs = periodic_pairs(structures, sites, cutoff)
+    pairs = near_pairs(structures, sites, cutoff)
     if cation_anion:
         oxi = lambda name, col: sites.select("structure_id", F.col("site_i").alias(name), F.col("oxi").alias(col))
         pairs = pairs.join(oxi("u", "ou"), ["structure_id", "u"]).join(oxi("v", "ov"), ["structure_id", "v"])
@@ -112,25 +112,27 @@ def econ(structures: DataFrame, sites: DataFrame, tol: float = 0.2, cutoff: floa
     return _bonds(found.where((F.col("w") > tol) & (F.col("dist") < cutoff)), F.col("w"))
 
 
-def distance_clusters(structures: DataFrame, sites: DataFrame, cutoff: float = 6.0, eps: float = 0.5) -> DataFrame:
+def distance_clusters(structures: DataFrame, sites: DataFrame, cutoff: float = 6.0, eps: float = 0.5, pairs: DataFrame | None = None) -> DataFrame:
     """(structure_id, u, k, bound): the largest distance of each cluster of a site, ascending from k = 0.
 
     In one dimension and with two members at least, density clusters are runs without a gap above eps; the site's own
-    distance 0 takes part, runs of one member are noise.
+    distance 0 takes part, runs of one member are noise. pairs: those within the cut-off, where they are known already.
     """
     own = sites.select("structure_id", F.col("site_i").alias("u"), F.lit(0.0).alias("dist"))
-    all_ = periodic_pairs(structures, sites, cutoff).select("structure_id", "u", "dist").unionByName(own)
+    pairs = near_pairs(structures, sites, cutoff) if pairs is None else pairs
+    all_ = pairs.select("structure_id", "u", "dist").unionByName(own)
     steps = _site().orderBy("dist")
     runs = all_.withColumn("new", (F.col("dist") - F.lag("dist").over(steps) > eps).cast("int")).withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(steps.rowsBetween(Window.unboundedPreceding, 0)))
     bounds = runs.groupBy("structure_id", "u", "run").agg(F.max("dist").alias("bound"), F.count("*").alias("n")).where("n >= 2")
     return bounds.select("structure_id", "u", (F.row_number().over(_site().orderBy("run")) - 1).alias("k"), "bound")
 
 
-def cluster_bonds(structures: DataFrame, sites: DataFrame, cutoff: float = 6.0) -> DataFrame:
+def cluster_bonds(structures: DataFrame, sites: DataFrame, cutoff: float = 6.0, pairs: DataFrame | None = None) -> DataFrame:
     """(structure_id, u, k, v, ia, ib, ic, weight): the bonds of each cluster, by distances rounded to three decimals."""
-    bounds = distance_clusters(structures, sites, cutoff).withColumn("high", F.round("bound", 3))
+    pairs = near_pairs(structures, sites, cutoff) if pairs is None else pairs
+    bounds = distance_clusters(structures, sites, cutoff, pairs=pairs).withColumn("high", F.round("bound", 3))
     bounds = bounds.withColumn("low", F.lag("high").over(_site().orderBy("k")))
-    pairs = periodic_pairs(structures, sites, cutoff).withColumn("r", F.round("dist", 3))
+    pairs = pairs.withColumn("r", F.round("dist", 3))
     near = pairs.join(bounds.drop("bound"), ["structure_id", "u"]).where((F.col("r") <= F.col("high")) & (F.col("low").isNull() | (F.col("r") > F.col("low"))))
     return near.select("structure_id", "u", "k", "v", "ia", "ib", "ic", F.col("r").alias("weight"))
 
@@ -171,8 +173,11 @@ def checked(structures: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFra
     return structures.withColumn("lattice", lattice), sites.withColumns(place)
 
 
-def bonds(name: str, structures: DataFrame, sites: DataFrame, **options) -> DataFrame:
-    """Bonds by a registered strategy; structures of a kind that it does not allow raise an error when read."""
+def bonds(name: str, structures: DataFrame, sites: DataFrame, binned_above: int | None = None, **options) -> DataFrame:
+    """Bonds by a registered strategy; structures of a kind that it does not allow raise an error when read.
+
+    binned_above: structures of more sites than this search their pairs by cell lists; the bonds are the same.
+    """
     if name not in STRATEGIES:
         raise ValueError(f"no strategy {name}; there are {', '.join(sorted(STRATEGIES))}")
     strategy, crystals, molecules = STRATEGIES[name]
@@ -180,7 +185,12 @@ def bonds(name: str, structures: DataFrame, sites: DataFrame, **options) -> Data
     periodic = F.exists("pbc", lambda p: p)
     bad = F.lit(False) if crystals and molecules else ~periodic if crystals else periodic
     allowed = structures.withColumn("pbc", F.when(bad, F.raise_error(F.lit(f"{name} does not allow this kind of structure")).cast("array<boolean>")).otherwise(F.col("pbc"))) if not (crystals and molecules) else structures
-    return strategy(allowed, sites, **options)
+    if binned_above is None:
+        return strategy(allowed, sites, **options)
+    small = strategy(allowed.where(F.col("n_sites") <= binned_above), sites, **options)
+    with by_bins():
+        large = strategy(allowed.where(F.col("n_sites") > binned_above), sites, **options)
+    return small.unionByName(large)
 
 
 def _by_kernel(structures: DataFrame, sites: DataFrame, make: Callable[[list, list, list, list], list[tuple]], fields: list | None = None) -> DataFrame:

@@ -129,3 +129,15 @@ def test_named_cutoffs():
     assert radii.preset_cutoffs("covalent", ["Na", "Cl"]) == radii.covalent_cutoffs(["Na", "Cl"])
     with pytest.raises(ValueError):
         radii.preset_cutoffs("none", ["Na"])
+
+
+def test_cell_lists_find_the_same_bonds(spark):
+    from lattisphere.plans.queries import crystals
+
+    structures, sites = crystals(spark, "/root/testdata/sf0.001")
+    structures, sites = structures.where("structure_id < 400"), sites.where("structure_id < 400")
+    table = {("AF", "NO"): 4.0, ("RF", "RF"): 5.0}
+    for name, options in (("minimum_distance", {"cutoff": 8.4}), ("cutoff_dict", {"cutoffs": table}), ("brunner_real", {}), ("econ", {"cutoff": 5.0})):
+        key = lambda r: (r.structure_id, r.u, r.v, r.ia, r.ib, r.ic)
+        plain, mixed = ({key(r): r.weight for r in neighbors.bonds(name, structures, sites, **options, **more).collect()} for more in ({}, {"binned_above": 3}))
+        assert mixed == pytest.approx(plain) and len(plain) > 50

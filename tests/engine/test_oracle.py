@@ -30,7 +30,7 @@ def test_matches_sql(spark, duck, name):
     assert len(mine) == len(other) and (order(mine) == order(other)).all(axis=None)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(oracle.queries()))))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - set(oracle.queries())))
 def test_runs(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0
 
