@@ -12,7 +12,8 @@ All sequences with one gap are alike, so the plan is made in runs: (length, rank
 offset). Pieces get a gapless rank within their length, without a task that holds a whole length, and look their run up.
 
 Defined results: null and empty texts have the end id alone. Repeated rows are packed as often as they occur. An empty
-table gives no rows. Columns other than the key and the text are not read.
+table gives no rows. Null keys are kept. `cut_documents` reads the key and the text alone; `pack` carries all columns along
+and replaces those named `sequence_id` or `offset`.
 """
 
 from __future__ import annotations

@@ -30,11 +30,10 @@ def families(rng):
 def test_small_groups_lose_no_link(spark, monkeypatch):
     for name, value in (("OWNERS", 7), ("HELD", 50), ("GROUP_BYTES", 20_000), ("TOGETHER", 5), ("PARTS", 16)):
         monkeypatch.setattr(N, name, value)
-    for seed in (1, 2):
-        docs = families(np.random.default_rng(seed))
-        table = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
-        found = {r.doc_id: (r.n_shingles, r.component_id) for r in N.jaccard_components(table).collect()}
-        assert found == brute_components(docs)
+    docs = families(np.random.default_rng(1))
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in N.jaccard_components(table).collect()}
+    assert found == brute_components(docs)
 
 
 def test_repeated_rows_null_keys_and_clashing_columns(spark):
