@@ -49,8 +49,10 @@ EXTRA = (1, 2, 4, 8, 16)
 GROUP_BYTES, OWNERS = 16_000_000, 2_000
 #: Proposed pairs that a task holds before it passes them on, and the parts in which it does.
 HELD, PARTS = 1_000_000, 4_096
+#: Bytes of ids or pairs up to which they are broadcast to the texts; beyond it, both are dealt by key.
+BROADCAST_BYTES = 32_000_000
 #: Pairs of one set that are verified together with one copy of it.
-TOGETHER = 500
+TOGETHER = 200
 _MIX, _SHIFT, _TOKEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(29), np.uint64(0xFFFFFFFFFFFFFFF8)
 
 
@@ -197,7 +199,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text:
     of its pairs. So a set that thousands are held against, as the centre of a family is, lands in as many groups as that takes.
     """
     needed = pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct().join(sets, "set").select(F.col("doc").alias(key)).distinct()
-    texts = docs.select(key, text).join(needed, key, "left_semi")
+    needed = materialize(needed, "needed")
+    size_of_ids = needed.agg(F.sum(F.octet_length(F.col(key).cast("string")) + 16)).first()[0] or 0
+    texts = docs.select(key, text).join(F.broadcast(needed) if size_of_ids <= BROADCAST_BYTES else needed, key, "left_semi")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,7 +209,6 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text:
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["set", "shingles"])
 
     whole = texts.select(F.col(text).alias("text")).mapInArrow(rebuild, "set bigint, shingles binary")
-    whole = materialize(whole.join(pairs.select(F.explode(F.array("x", "y")).alias("set")).distinct(), "set", "left_semi"), "sets")
     times = pairs.select(F.explode(F.array("x", "y")).alias("set")).groupBy("set").agg(F.count("*").alias("t"))
     count = lambda name: times.select(F.col("set").alias(name), F.col("t").alias(f"t{name}"))
     size_of = lambda name: sets.select(F.col("set").alias(name), F.col("n").alias(f"n{name}"))
@@ -213,22 +216,26 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text:
     by_x = F.col("tx") > F.col("ty")
     told = told.select(F.when(by_x, F.col("y")).otherwise(F.col("x")).alias("own"), F.when(by_x, F.col("x")).otherwise(F.col("y")).alias("with"), F.greatest("tx", "ty").alias("t"), F.when(by_x, F.col("ny")).otherwise(F.col("nx")).alias("n"))
     told = materialize(told.withColumn("part", F.pmod(F.xxhash64("own"), F.ceil(F.col("t") / TOGETHER)).cast("int")), "pairs")
-    groups = _groups(docs.sparkSession, 8 * (told.agg(F.sum("n")).first()[0] or 0))
+    shingles_, n_pairs = told.agg(F.sum("n"), F.count("*")).first()
+    groups = _groups(docs.sparkSession, 8 * (shingles_ or 0))
     group = F.pmod(F.xxhash64("with", "part"), F.lit(groups)).cast("int").alias("group")
-    left = told.join(whole.select(F.col("set").alias("own"), F.col("shingles").alias("a")), "own").select(group, "own", "with", "a")
-    right = told.select("with", "part").distinct().join(whole.select(F.col("set").alias("with"), F.col("shingles").alias("b")), "with").select(group.alias("to"), F.col("with").alias("against"), "b")
+    nobody = F.lit(None).cast("bigint")
+    asked = told.select(F.col("own").alias("set"), group, "with").unionByName(told.select("with", "part").distinct().select(F.col("with").alias("set"), group, nobody.alias("with")))
+    rows = whole.join(F.broadcast(asked) if 80 * n_pairs <= BROADCAST_BYTES else asked, "set").select("group", "set", "with", "shingles")
 
-    def intersect(left: pa.Table, right: pa.Table) -> pa.Table:
-        others = dict(zip(right["against"].to_pylist(), right["b"]))
+    def intersect(table: pa.Table) -> pa.Table:
+        sets_, others, blobs = table["set"].to_pylist(), table["with"].to_pylist(), table["shingles"]
+        of = {s: i for i, (s, other) in enumerate(zip(sets_, others)) if other is None}
         good = []
-        for own, other, mine in zip(left["own"].to_pylist(), left["with"].to_pylist(), left["a"]):
-            a, b = np.frombuffer(mine.as_buffer(), np.uint64), np.frombuffer(others[other].as_buffer(), np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                good.append((min(own, other), max(own, other)))
+        for i, (own, other) in enumerate(zip(sets_, others)):
+            if other is not None:
+                a, b = (np.frombuffer(blobs[k].as_buffer(), np.uint64) for k in (i, of[other]))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    good.append((min(own, other), max(own, other)))
         return pa.table({"x": pa.array([g[0] for g in good], pa.int64()), "y": pa.array([g[1] for g in good], pa.int64())})
 
-    return materialize(left.groupBy("group").cogroup(right.groupBy("to")).applyInArrow(intersect, "x bigint, y bigint").distinct(), "links")
+    return materialize(rows.groupBy("group").applyInArrow(intersect, "x bigint, y bigint").distinct(), "links")
 
 
 def _groups(spark: SparkSession, size: int) -> int:
