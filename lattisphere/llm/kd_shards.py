@@ -63,19 +63,25 @@ def keyed_rows(rows: DataFrame, shards: int, weight: str, dims: list[str], group
     out = out.withColumns({"__h": F.xxhash64(*hashed), "__row": F.monotonically_increasing_id(), "__g": F.xxhash64(group) if group else F.lit(None).cast("long")})
     if group:
         out = out.withColumn("__g", F.when(F.col(group).isNotNull(), F.col("__g")))
-    target = (out.agg(F.sum("__w")).first()[0] or 0) / shards
+    total, n = out.agg(F.sum("__w"), F.count("*")).first()
+    target = (total or 0) / shards
     tie = lambda number, half: F.lit(half << _HASH - 1) + F.shiftrightunsigned(number, 65 - _HASH)
     if not group:
         keys = {f"__k{i}": F.shiftleft(v, _HASH) + tie(F.xxhash64("__h", F.lit(i)), 1) for i, v in enumerate(values)}
         return out.withColumns(keys).drop(*values, "__h", "__g"), target
     groups = out.where("__g IS NOT NULL").groupBy("__g").agg(F.sum("__w").alias("__gw"), F.count("*").alias("__gn"), *[F.min(v).alias(f"__g{v}") for v in values]).where("__gn > 1")
-    out = out.join(groups, "__g", "left")
+    groups = materialize(groups, "groups")
+    # groups of very many rows are dealt over salts: at most 1024 of them, so what is broadcast is bounded
+    many = groups.where(F.col("__gn") > max(100, n // 1024)).select("__g", F.ceil(F.col("__gn") / max(100, n // 1024)).cast("int").alias("__salts"))
+    salted = groups.join(F.broadcast(many), "__g", "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    out = out.join(F.broadcast(many), "__g", "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("__row"), F.col("__salts")).cast("int"), F.lit(0))).drop("__salts")
+    out = out.join(salted, ["__g", "__salt"], "left")
     whole = F.coalesce(F.col("__gw") <= keep * target, F.lit(False))
     own = F.when(F.col("__gn").isNotNull(), F.xxhash64("__h", "__row")).otherwise(F.col("__h"))
     out = out.withColumn("__whole", whole).withColumn("__h", F.when(F.col("__whole"), F.col("__g")).otherwise(own))
     half = lambda i: F.when(F.col("__whole"), tie(F.xxhash64("__h", F.lit(i)), 0)).otherwise(tie(F.xxhash64("__h", F.lit(i)), 1))
     keys = {f"__k{i}": F.shiftleft(F.when(F.col("__whole"), F.col(f"__g{v}")).otherwise(F.col(v)), _HASH) + half(i) for i, v in enumerate(values)}
-    return out.withColumns(keys).drop(*values, *[f"__g{v}" for v in values], "__h", "__g", "__gw", "__gn", "__whole"), target
+    return out.withColumns(keys).drop(*values, *[f"__g{v}" for v in values], "__h", "__g", "__gw", "__gn", "__whole", "__salt"), target
 
 
 def kd_shards(rows: DataFrame, shards: int, weight: str, dims: list[str], tolerance: float = 0.001, group: str | None = None, keep: float = KEEP) -> DataFrame:
