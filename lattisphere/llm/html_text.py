@@ -1,25 +1,31 @@
 """HTML extraction: main text of pages, with host suffix arrays against repeated boilerplate.
 
-A page becomes a stream of blocks in page order. Markup says where the main text is: what stands inside <article> or <main>,
-without scripts, styles, forms, menus, headers, footers, sidebars and hidden parts (by tag or role) and without notices,
-adverts and reader comments (by the words of their class or id; on and inside <article> or <main> by whole names only). All
-that stands beside it goes to the suffix array of the host: the token streams of its pages are concatenated, their
-suffixes are brought into order by their first RUN tokens, and neighbours in that order that agree in all of them but come
-from distinct pages are long repeated substrings. Tokens that such substrings cover are boilerplate; the unique runs are
-kept. Main text that a page marks is no part of the array: copies of an article would erase each other. The arrays judge
-pages that mark no main text, and are built over all that stands beside main text on the hosts of such pages.
+A page becomes a stream of blocks in page order. Every host has suffix arrays, over all its pages: the token streams of its
+pages are concatenated, their suffixes are brought into order by their first RUN tokens, and neighbours in that order that
+agree in all of them but come from distinct pages are long repeated substrings. Tokens that such substrings cover are
+boilerplate; the unique runs are kept. One array holds what pages mark as main text, one what stands beside it.
+
+Markup checks what the arrays say. What stands inside <article> or <main> is main text, without scripts, styles, forms,
+menus, headers, footers, sidebars and hidden parts (by tag or role) and without notices, adverts and reader comments (by the
+words of their class or id; on and inside <article> or <main> by whole names only). Articles share passages: marked main
+text that repeats cover is put back. Not put back are notices without a name: blocks that substrings cover which more than
+half of the host's distinct pages hold in their main text, and at least NOTICE_PAGES of them, as long as they are the
+smaller part of a page's main text. On pages that mark no main text, the unique runs of all that no name makes boilerplate
+are the text; the array over what stands beside main text judges them, so copies of an article don't erase each other.
 
 The order is needed only up to RUN tokens: every place inside a longer repeat starts a repeat of RUN tokens of its own, so
-the cover is the same. An array is built over the streams that a batch holds, exactly; arrays of the same host meet by a
-64-bit print of each distinct beginning, with the smallest and the largest page that has it. So neither a host with a third
-of all pages nor a notice on all of them lands in one task, and only distinct beginnings are shuffled. Two different
-beginnings share a print with a chance of about n^2 / 2^65.
+the cover is the same. A host of up to ARRAY tokens is sorted as a whole. A larger one has several arrays, to which its
+distinct pages are dealt; so neither a host with a third of all pages nor a notice on all of them lands in one task. Its
+arrays meet by a 64-bit print of each distinct beginning: beside main text with the smallest and the largest page that has
+it; in main text, what more than half of the host's pages hold, more than half of the pages of one of its arrays hold, so
+only such beginnings are counted again over all its pages. Two different beginnings share a print with a chance of about
+n^2 / 2^65.
 
 Defined results: null or empty html gives an empty text. Broken markup is read like a browser would, as far as that
 matters here: paragraphs, list items, table cells and the like end where the next one starts, other unclosed elements end
 with the page, stray end tags are skipped. White space inside a block becomes one space; blocks are joined by one space. A
 page without a host, or with a url that can't be read, is a host of its own. Pages of a host with the same main text (or,
-unmarked, the same open text) are one page to the array, so copies and repeated rows never make each other boilerplate; an
+unmarked, the same open text) are one page to the arrays, so copies and repeated rows never make each other boilerplate; an
 unmarked page of which no unique run is left keeps its open text. Null keys stay as they are; other columns are not read.
 """
 
@@ -33,11 +39,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, shuffle_width
 
 #: Tokens from which on a repeated substring is long.
 RUN = 8
+#: Tokens up to which a host has one array; the pages of larger hosts are dealt over several of about as many.
+ARRAY = 200_000
+#: Distinct pages that each of them has on average at least, however long they are.
+ARRAY_PAGES = 16
+#: Distinct pages that a notice inside main text is on at least, beside being on more than half of those of its host.
+NOTICE_PAGES = 8
+#: Bytes of prints or hosts up to which they are broadcast to the pages; beyond it, both are dealt by host.
+BROADCAST_BYTES = 32_000_000
 
 # What elements and names mean.
 SILENT = frozenset("script style template noscript head title iframe svg math object canvas audio video select option datalist".split())
@@ -227,29 +242,34 @@ def _prints(tokens: pa.DictionaryArray, total: int, run: int) -> np.ndarray:
     return out
 
 
-def _repeats(hosts: list[str], pages: list[int], streams: list[list[str]], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(print, first page, last page) of each distinct beginning of a suffix on each host: the runs of its array."""
-    import xxhash
+def _repeats(host: str, main: list[bool], pages: list[int], streams: list[list[str]], run: int) -> dict[str, np.ndarray]:
+    """Each distinct beginning of a suffix in the arrays of a host, main text and the rest: the runs of equal neighbours.
 
-    number = {h: i for i, h in enumerate(dict.fromkeys(hosts))}
-    owners = [number[h] for h in hosts]
-    at, new, prints = suffix_array(streams, owners, run)
+    main, print, n (distinct pages that have it), a and b (the smallest and the largest of them).
+    """
+    at, new, prints = suffix_array(streams, [int(m) for m in main], run)
     if not len(at):
-        return (np.zeros(0, np.int64),) * 3
+        return {"main": np.zeros(0, bool), **dict.fromkeys(("print", "n", "a", "b"), np.zeros(0, np.int64))}
     stream = np.repeat(np.arange(len(streams)), [len(s) for s in streams])[at]
-    page, start = np.array(pages, np.int64)[stream], np.flatnonzero(new)
-    salt = np.array([xxhash.xxh3_64_intdigest(h) for h in number], np.uint64)[np.array(owners)[stream[start]]]
-    return (prints[at[start]] ^ salt).view(np.int64), np.minimum.reduceat(page, start), np.maximum.reduceat(page, start)
+    start, of = np.flatnonzero(new), np.cumsum(new) - 1  # the first of each run; the run of each suffix
+    numbers, page = np.unique(np.array(pages, np.int64), return_inverse=True)
+    held, page = np.divmod(np.unique(of * len(numbers) + page[stream]), len(numbers))  # (run, page), each once and in order
+    first = np.searchsorted(held, np.arange(len(start) + 1))
+    return {"main": np.array(main)[stream[start]], "print": _salted(prints[at[start]], host), "n": np.diff(first), "a": numbers[page[first[:-1]]], "b": numbers[page[first[1:] - 1]]}
 
 
-def _windows(host: str, stream: list[str], run: int) -> np.ndarray:
-    """The print of the suffix at each place of one stream that has `run` tokens after it."""
+def _salted(prints: np.ndarray, host: str) -> np.ndarray:
     import xxhash
 
+    return (prints ^ np.uint64(xxhash.xxh3_64_intdigest(host))).view(np.int64)
+
+
+def _windows(host: str, stream: list[str], run: int) -> np.ndarray:
+    """The print of the suffix at each place of one stream that has `run` tokens after it."""
     if len(stream) < run:
         return np.zeros(0, np.int64)
     prints = _prints(pa.array(stream, pa.string()).dictionary_encode(), len(stream), run)
-    return (prints[: len(stream) - run + 1] ^ np.uint64(xxhash.xxh3_64_intdigest(host))).view(np.int64)
+    return _salted(prints[: len(stream) - run + 1], host)
 
 
 def covered(n: int, places: np.ndarray, run: int) -> np.ndarray:
@@ -271,10 +291,56 @@ def _unique_runs(blocks: list[tuple[bool, str]], gone: np.ndarray) -> str:
     return " ".join(kept) if kept else " ".join(t for is_open, t in blocks if is_open)
 
 
-def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", run: int = RUN) -> DataFrame:
-    """(key, url, text string, n_chars long, n_repeated long) for each row.
+def _without_notices(host: str, blocks: list[str], notices: np.ndarray, run: int) -> tuple[str, int]:
+    """The blocks but for those that notices cover whole, and how many tokens these have; all blocks if that is half of them."""
+    stream = [t for text in blocks for t in text.split(" ")]
+    gone = covered(len(stream), np.flatnonzero(np.isin(_windows(host, stream, run), notices)), run)
+    ends = np.cumsum([text.count(" ") + 1 for text in blocks])
+    whole = [bool(gone[i:j].all()) for i, j in zip([0, *ends], ends)]
+    n = sum(text.count(" ") + 1 for text, w in zip(blocks, whole) if w)
+    return (" ".join(blocks), 0) if 2 * n >= len(stream) else (" ".join(t for t, w in zip(blocks, whole) if not w), n)
+
+
+def _for_hosts(table: DataFrame, size) -> DataFrame:
+    """A stored table with one row for each host, broadcast if it is small."""
+    return F.broadcast(table) if (table.agg(F.sum(F.octet_length("host") + size)).first()[0] or 0) <= BROADCAST_BYTES else table
+
+
+def _notices(runs: DataFrame, parsed: DataFrame, run: int) -> DataFrame | None:
+    """(host, notices): the beginnings that more than half of a host's distinct pages have in main text; None if there are none."""
+    inside = runs.where("print IS NOT NULL")
+    sure, unsure = inside.where("arrays = 1").select("host", "print"), inside.where("arrays > 1").select("host", "print").distinct()
+    asked = materialize(unsure.groupBy("host").agg(F.collect_list("print").alias("prints")), "asked")
+    if not asked.isEmpty():  # beginnings that most pages of one of several arrays have: counted on all pages of their hosts
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = {}
+                for host, same, text, prints in zip(b["host"].to_pylist(), b["same"].to_pylist(), b["main"].to_pylist(), b["prints"]):
+                    if (host, same) not in own:
+                        found = np.unique(_windows(host, _stream(text), run))
+                        own[host, same] = found[np.isin(found, prints.values.to_numpy())]
+                hosts, pages, prints = ([k[0] for k, p in own.items() for _ in p], [k[1] for k, p in own.items() for _ in p], [int(x) for p in own.values() for x in p])
+                yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(prints, pa.int64())], names=["host", "page", "print"])
+
+        told = parsed.where("main IS NOT NULL").select("host", "same", "main").join(_for_hosts(asked, 8 * F.size("prints")), "host")
+        counts = told.mapInArrow(count, "host string, page bigint, print bigint").groupBy("host", "print").agg(F.count_distinct("page").alias("n"))
+        totals = runs.where("print IS NULL").groupBy("host").agg(F.sum("n").alias("pages"))
+        sure = sure.unionByName(counts.join(totals, "host").where(f"2 * n > pages AND n >= {NOTICE_PAGES}").select("host", "print"))
+    found = materialize(sure.groupBy("host").agg(F.collect_list("print").alias("notices")), "notices")
+    return None if found.isEmpty() else _for_hosts(found, 8 * F.size("notices"))
+
+
+def _stream(text: str) -> list[str]:
+    """The tokens of blocks that line ends part."""
+    return text.replace("\n", " ").split(" ")
+
+
+def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", run: int = RUN, array: int = ARRAY) -> DataFrame:
+    """(key, url, text string, n_chars long, n_repeated long, n_notice long) for each row.
 
     n_repeated: how many tokens of a page that marks no main text repeated substrings cover; null for other pages.
+    n_notice: how many tokens of marked main text were notices by the host's arrays; null for pages that mark none.
     """
     import xxhash
 
@@ -282,34 +348,81 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            main, beside, same = [], [], []
+            main, beside, same, sizes = [], [], [], []
             for raw in b["page"].to_pylist():
                 found = segments(raw)
                 kept = [t for zone, t in found if zone == KEPT]
-                main.append(" ".join(kept) if kept else None)
+                main.append("\n".join(kept) if kept else None)  # no block holds a line end
                 beside.append([{"open": zone == OPEN, "text": t} for zone, t in found if zone != KEPT])
                 judged = kept or [t for zone, t in found if zone == OPEN] or [t for _, t in found]
                 same.append(xxhash.xxh3_64_intdigest("\0".join(judged)) - (1 << 63))
+                sizes.append(sum(t.count(" ") + 1 for _, t in found))
             blocks = pa.array(beside, pa.list_(pa.struct([("open", pa.bool_()), ("text", pa.string())])))
-            yield pa.RecordBatch.from_arrays([b["row"], b["key"], b["url"], b["host"], pa.array(main, pa.string()), blocks, pa.array(same, pa.int64())], names=["row", "key", "url", "host", "main", "blocks", "same"])
+            made = [b["row"], b["key"], b["url"], b["host"], pa.array(main, pa.string()), blocks, pa.array(same, pa.int64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(made, names=["row", "key", "url", "host", "main", "blocks", "same", "size"])
 
     source = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(url).alias("url"), host.alias("host"), F.col(page).alias("page"))
     kind, link = (source.schema[c].dataType.simpleString() for c in ("key", "url"))
-    parsed = materialize(source.mapInArrow(parse, f"row bigint, key {kind}, url {link}, host string, main string, blocks array<struct<open:boolean,text:string>>, same bigint"), "pages")
+    parsed = source.mapInArrow(parse, f"row bigint, key {kind}, url {link}, host string, main string, blocks array<struct<open:boolean,text:string>>, same bigint, size bigint")
+    parsed = materialize(parsed, "pages", codec="zstd")
 
     def streams(b: pa.RecordBatch) -> list[list[str]]:
         return [[t for x in blocks for t in x["text"].split(" ")] for blocks in b["blocks"].to_pylist()]
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The streams of a batch by array, packed: main text, each distinct page once, or what stands beside it."""
         for b in batches:
-            found = _repeats(b["host"].to_pylist(), b["same"].to_pylist(), streams(b), run)
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["print", "a", "b"])
-
-    marked = parsed.where("main IS NOT NULL").select("key", "url", F.col("main").alias("text"), F.lit(None).cast("long").alias("n_repeated"))
-    unmarked = parsed.where("main IS NULL")
-    asking = unmarked.where(F.exists("blocks", lambda x: x["open"])).select("host").distinct()  # the hosts whose arrays are needed
-    parts = parsed.select("host", "same", "blocks").join(asking, "host", "left_semi").mapInArrow(arrays, "print bigint, a bigint, b bigint")
-    repeated = parts.groupBy("print").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("print")
+            packs: dict[tuple, dict[tuple[int, str], None]] = {}
+            for row, host, arrays, same, main, blocks in zip(*(b[c].to_pylist() for c in ("row", "host", "arrays", "same", "main", "blocks"))):
+                if main is not None:
+                    packs.setdefault((host, arrays, same % arrays, True), {})[same, main.replace("\n", " ")] = None
+                elif blocks:
+                    packs.setdefault((host, arrays, row % arrays, False), {})[same, " ".join(x["text"] for x in blocks)] = None
+            columns = [list(c) for c in zip(*packs)] or [[], [], [], []]
+            raw = ["\n".join(text for _, text in p).encode() for p in packs.values()]
+            packed = [pa.compress(r, codec="zstd", asbytes=True) for r in raw]
+            own = [[same for same, _ in p] for p in packs.values()]
+            made = [*(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.bool_()))), pa.array(own, pa.list_(pa.int64())), pa.array(map(len, raw), pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(made, names=["host", "arrays", "part", "main", "pages", "size", "packed"])
+
+    def arrays(group: pa.Table) -> pa.Table:
+        """What the arrays of one host, or of one part of its pages, have to say."""
+        host, several = group["host"][0].as_py(), group["arrays"][0].as_py() > 1
+        own: dict[tuple[bool, int, str], None] = {}
+        for main, pages_, size, packed in zip(*(group[c].to_pylist() for c in ("main", "pages", "size", "packed"))):
+            texts = pa.decompress(packed, size, "zstd", asbytes=True).decode().split("\n")
+            own.update(dict.fromkeys(zip([main] * len(texts), pages_, texts)))
+        mains, numbers, texts = zip(*own)
+        found = _repeats(host, list(mains), list(numbers), [t.split(" ") for t in texts], run)
+        total = len({page for main, page in zip(mains, numbers) if main})
+        often = (2 * found["n"] > total) & (several | (found["n"] >= NOTICE_PAGES))
+        told = np.flatnonzero(np.where(found["main"], often, several | (found["a"] != found["b"])))
+        rows = {c: pa.array(v[told]) for c, v in found.items()}
+        out = pa.table({"host": pa.array([host] * len(told), pa.string()), "arrays": pa.array([1 + several] * len(told), pa.int32()), **rows})
+        if several:  # how many pages the part has
+            none = pa.array([None], pa.int64())
+            out = pa.concat_tables([out, pa.table({"host": pa.array([host]), "arrays": pa.array([2], pa.int32()), "main": [True], "print": none, "n": [total], "a": none, "b": none})])
+        return out
+
+    marked, unmarked = parsed.where("main IS NOT NULL"), parsed.where("main IS NULL")
+    is_open = F.col("main").isNull() & F.exists("blocks", lambda x: x["open"])
+    parts = F.least(F.ceil(F.sum("size") / array), F.ceil(F.approx_count_distinct("same") / ARRAY_PAGES)).cast("int")
+    hosts = parsed.groupBy("host").agg(parts.alias("arrays"), F.max(is_open).alias("asked"))  # asked: a page needs what stands beside main text
+    hosts = materialize(hosts.where("arrays > 1 OR asked"), "hosts")
+    placed = parsed.select("row", "host", "same", "main", "blocks").join(_for_hosts(hosts, F.lit(5)), "host", "left")
+    placed = placed.withColumns({"arrays": F.greatest(F.coalesce("arrays", F.lit(1)), F.lit(1)), "asked": F.coalesce("asked", F.lit(False))})
+    spark = pages.sparkSession
+    width = max(shuffle_width(spark), spark.sparkContext.defaultParallelism)  # a number, as packs are few bytes, but long to work on
+
+    def sorted_runs(rows: DataFrame, least: int) -> DataFrame:
+        """What the arrays of all hosts say; a host alone with fewer than `least` streams has nothing to say."""
+        dealt = rows.mapInArrow(deal, "host string, arrays int, part int, main boolean, pages array<bigint>, size bigint, packed binary").repartition(width, "host", "part")
+        dealt = dealt.withColumn("__streams", F.sum(F.size("pages")).over(Window.partitionBy("host", "part"))).where(f"arrays > 1 OR __streams >= {least}").drop("__streams")
+        return dealt.groupBy("host", "part").applyInArrow(arrays, "host string, arrays int, main boolean, print bigint, n bigint, a bigint, b bigint")
+
+    runs = materialize(sorted_runs(placed.where("main IS NOT NULL").withColumn("blocks", F.lit(None).cast(placed.schema["blocks"].dataType)), NOTICE_PAGES), "runs")
+    beside = sorted_runs(placed.where("asked").withColumn("main", F.lit(None).cast("string")), 2)
+    repeated = beside.groupBy("print").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("print")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,6 +442,16 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", page:
                 repeats.append(int(gone.sum()))
             yield pa.RecordBatch.from_arrays([b["key"], b["url"], pa.array(texts, pa.string()), pa.array(repeats, pa.int64())], names=["key", "url", "text", "n_repeated"])
 
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [(" ".join(text.split("\n")), 0) if notices is None else _without_notices(h, text.split("\n"), np.array(notices, np.int64), run) for h, text, notices in zip(*(b[c].to_pylist() for c in ("host", "main", "notices")))]
+            yield pa.RecordBatch.from_arrays([b["key"], b["url"], pa.array([t for t, _ in made], pa.string()), pa.array([n for _, n in made], pa.int64())], names=["key", "url", "text", "n_notice"])
+
+    notices = _notices(runs, parsed, run)
+    if notices is None:
+        left = marked.select("key", "url", F.translate("main", "\n", " ").alias("text"), F.lit(0).cast("long").alias("n_notice"))
+    else:
+        left = marked.select("key", "url", "host", "main").join(notices, "host", "left").select("key", "url", "host", "main", "notices").mapInArrow(drop, f"key {kind}, url {link}, text string, n_notice bigint")
     judged = unmarked.select("row", "key", "url", "host", "blocks").join(hits, "row", "left").select("key", "url", "host", "blocks", "hits")
-    kept = marked.unionByName(judged.mapInArrow(clean, f"key {kind}, url {link}, text string, n_repeated bigint"))
-    return kept.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated")
+    kept = left.unionByName(judged.mapInArrow(clean, f"key {kind}, url {link}, text string, n_repeated bigint"), allowMissingColumns=True)
+    return kept.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"), "n_repeated", "n_notice")
