@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.digest import HASHES, blake
 from ..plans.session import stored
+from . import batch
 
 PLACE = ["structure_id", "center", "site", "ia", "ib", "ic"]
 
@@ -90,3 +92,53 @@ def cumulative(counts: DataFrame) -> DataFrame:
     """Running totals of shell counts by (structure_id, center, label), for the levels at which a label is met."""
     upto = Window.partitionBy("structure_id", "center", "label").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     return counts.withColumn("n", F.sum("n").over(upto))
+
+
+def _levels_of(rows: DataFrame, fields: str, work: Callable[[batch.Graph, batch.Labels], tuple[np.ndarray, dict]], label: str) -> DataFrame:
+    """Rows of a kernel over assembled structures with start labels in a column; work's first column is the structure's place."""
+    kind = rows.schema["structure_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            start, names = batch.lists(b["label"])
+            names = names.to_pylist()
+            for lo, hi, g, _ in batch.graphs(b["species"], b["edges"]):
+                of, columns = work(g, batch.Labels(g, names[start[lo] : start[hi]]))
+                out = pa.RecordBatch.from_pydict({"structure_id": b["structure_id"].take(pa.array(of + lo)), **columns})
+                for k in range(0, out.num_rows, 50_000):
+                    yield out.slice(k, 50_000)
+
+    return rows.select("structure_id", "species", "edges", F.col(label).alias("label")).mapInArrow(run, f"structure_id {kind}, {fields}")
+
+
+def shell_counts_of(rows: DataFrame, depth: int, label: str = "species", cumulated: bool = False) -> DataFrame:
+    """shell_counts, or cumulative(shell_counts), of assembled structures with their start labels in an array column."""
+
+    def work(g, labels):
+        every = np.arange(g.sites)
+        parts, whole = [], np.zeros(g.sites * labels.width, np.int64)
+        for level, i, site in g.shells(every, np.full(g.sites, depth)):
+            n = np.bincount(i * labels.width + labels.number[site], minlength=g.sites * labels.width)
+            whole += n
+            cell = np.flatnonzero(n)
+            parts.append((cell, np.full(len(cell), level), (whole if cumulated else n)[cell]))
+        cell, level, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 3
+        site, number = np.divmod(cell, labels.width)
+        of = g.of[site]
+        names = [labels.sets[s][k] for s, k in zip(of.tolist(), number.tolist())]
+        return of, {"center": g.local[site].astype(np.int32), "level": level.astype(np.int32), "label": pa.array(names, pa.string()), "n": n}
+
+    return _levels_of(rows, "center int, level int, label string, n bigint", work, label)
+
+
+def level_strings_of(rows: DataFrame, depth: int, label: str = "species") -> DataFrame:
+    """level_strings of assembled structures with their start labels in an array column."""
+
+    def work(g, labels):
+        found: list[list[str]] = [[] for _ in range(g.sites)]
+        for _, on, texts in batch.level_texts(g, labels, np.arange(g.sites), np.full(g.sites, depth)):
+            for j, text in zip(on, texts):
+                found[j].append(text)
+        return g.of, {"site_i": g.local.astype(np.int32), "label": pa.array(labels.names, pa.string()), "levels": pa.array(found, pa.list_(pa.string()))}
+
+    return _levels_of(rows, "site_i int, label string, levels array<string>", work, label)
