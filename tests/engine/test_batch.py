@@ -7,7 +7,7 @@ import pytest
 
 from lattisphere.operators import geometry, graph, ids, kernel, labels, neighbors, sequences
 from lattisphere.options import IdOptions
-from lattisphere.plans import queries
+from lattisphere.plans import queries, session
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the driver's tables")
@@ -90,3 +90,29 @@ def test_tied_distances_stay_in_one_cluster(spark):
     assert [(r.k, r.bound) for r in found] == expected
     bonds = neighbors.cluster_bonds(structures, sites).where("u = 0").collect()
     assert sorted((r.k, r.v) for r in bonds) == [(0, 1), (0, 2), (1, 3), (1, 4)]
+
+
+def test_components_of_parts_of_structures(spark, some):
+    """Edges are contracted before they are joined; with few at a time, stars of parts have to be joined."""
+    structures, sites = some
+    edges = graph.edges_of(neighbors.bond_rows(structures, sites, cutoff=8.4))
+    expected = rows(graph.components(sites, edges).drop("diameter"))
+    assert rows(graph.components_by_joins(sites, edges)) == expected == rows(graph.components_by_joins(sites, edges, rows=3))
+    chain = spark.range(199).selectExpr("'long' AS structure_id", "INT((id * 7) % 199) AS u", "INT((id * 7) % 199 + 1) AS v", "0 AS ia", "0 AS ib", "0 AS ic")
+    atoms = spark.range(201).selectExpr("'long' AS structure_id", "INT(id) AS site_i")
+    for at_once in (2, 50, 1000):
+        found = graph.components_by_joins(atoms, graph.symmetric(chain), rows=at_once).collect()
+        assert {r.site_i: r.comp for r in found} == {i: 200 if i == 200 else 0 for i in range(201)}
+    written = len(session._written)
+    graph.components_by_joins(sites, edges)
+    assert len(session._written) == written + 1
+
+
+def test_clustering_needs_no_stored_pairs(some):
+    """One pass over structures; equal to the kernel for one structure at a time, which rings still take."""
+    written = len(session._written)
+    made = ids.clustering_ids(*some, IdOptions(), base_cutoff=8.4)
+    assert len(session._written) == written and "ArrowEvalPython" not in plan(made)
+    with geometry.by_bins():
+        other = ids.clustering_ids(*some, IdOptions(), base_cutoff=8.4)
+    assert rows(made) == rows(other)
